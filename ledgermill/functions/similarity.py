@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# workers need no installed copy of the package: these functions travel with the plan
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 UNKNOWN_SIMILARITY = 0.5
 
 

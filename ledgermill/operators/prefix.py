@@ -24,13 +24,17 @@ def with_dense_index(df: DataFrame, order_by: list[str | Column], name: str) ->
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)))
     )
     ordered = materialize(ordered, "ordered")
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
-    # one row per shuffle partition, so the broadcast is bounded by the partition count
+    # one line per shuffle partition: bounded by the partition count, whatever the rows
+    sizes = sorted(tuple(r) for r in ordered.groupBy("_part").count().collect())
+    starts, total = [], 0
+    for part, size in sizes:
+        starts.append(f"({part}, {total}L)")
+        total += size
+    if not starts:
+        starts = ["(0, 0L)"]
+    before = df.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(starts)} AS s(_part, _start)")
     return (
-        ordered.join(F.broadcast(starts), "_part")
+        ordered.join(F.broadcast(before), "_part")
         .withColumn(name, F.col("_start") + F.col("_pos"))
         .drop("_part", "_pos", "_start")
     )
