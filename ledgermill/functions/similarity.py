@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -16,18 +17,66 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 UNKNOWN_SIMILARITY = 0.5
 
 
+# longer strings go through the library routine, which also has a rule for very long ones
+SHORT = 48
+
+
+def _codes(texts: list[str], width: int) -> np.ndarray:
+    return np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width)
+
+
+def _short_ratios(left: list[str], right: list[str]) -> np.ndarray:
+    """Matching-blocks ratio of many short pairs at once.
+
+    Each open piece of each pair gets its longest common block (first in the left text,
+    then first in the right one); what lies before and after the block stays open.
+    """
+    n_left, n_right = (np.array([len(t) for t in side], dtype=np.int64) for side in (left, right))
+    a, b = _codes(left, int(n_left.max())), _codes(right, int(n_right.max()))
+    matched = np.zeros(len(left), dtype=np.int64)
+    columns = np.arange(b.shape[1])
+    pair = np.arange(len(left))
+    a0, a1, b0, b1 = np.zeros_like(pair), n_left, np.zeros_like(pair), n_right
+    while len(pair):
+        inside = (columns >= b0[:, None]) & (columns < b1[:, None])
+        texts, other = a[pair], b[pair]
+        run = np.zeros(inside.shape, dtype=np.int8)
+        size, end_a, end_b = (np.zeros(len(pair), dtype=np.int64) for _ in range(3))
+        for i in range(int(a0.min()), int(a1.max())):
+            hit = (other == texts[:, i, None]) & inside & ((i >= a0) & (i < a1))[:, None]
+            longer = np.zeros_like(run)
+            longer[:, 1:] = run[:, :-1]
+            run = np.where(hit, longer + 1, 0).astype(np.int8)
+            at = run.argmax(axis=1)
+            best = run[np.arange(len(pair)), at]
+            better = best > size
+            size[better], end_a[better], end_b[better] = best[better], i + 1, at[better] + 1
+        np.add.at(matched, pair, size)
+        found = size > 0
+        before = found & (end_a - size > a0) & (end_b - size > b0)
+        after = found & (a1 > end_a) & (b1 > end_b)
+        pair, a0, a1, b0, b1 = (
+            np.concatenate([pair[before], pair[after]]),
+            np.concatenate([a0[before], end_a[after]]),
+            np.concatenate([(end_a - size)[before], a1[after]]),
+            np.concatenate([b0[before], end_b[after]]),
+            np.concatenate([(end_b - size)[before], b1[after]]),
+        )
+    return 2.0 * matched / (n_left + n_right)
+
+
 @F.pandas_udf("double")
 def _matching_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    known: dict[tuple[str, str], float] = {}
-    out = [None] * len(left)
-    for i, pair in enumerate(zip(left, right)):
-        if pair[0] is None:
-            continue
-        ratio = known.get(pair)
-        if ratio is None:
-            ratio = known[pair] = SequenceMatcher(None, pair[0], pair[1]).ratio()
-        out[i] = ratio
-    return pd.Series(out, dtype="float64")
+    out = np.full(len(left), np.nan)
+    wanted = np.flatnonzero(left.notna().to_numpy())
+    if len(wanted):
+        a, b = left.to_numpy()[wanted], right.to_numpy()[wanted]
+        short = np.array([len(p) <= SHORT and len(q) <= SHORT for p, q in zip(a, b)])
+        if short.any():
+            out[wanted[short]] = _short_ratios(a[short].tolist(), b[short].tolist())
+        for i, p, q in zip(wanted[~short], a[~short], b[~short]):
+            out[i] = SequenceMatcher(None, p, q).ratio()
+    return pd.Series(out)
 
 
 def is_blank(ref: Column) -> Column:

@@ -40,27 +40,27 @@ def with_dense_index(df: DataFrame, order_by: list[str | Column], name: str) ->
     )
 
 
-def with_running_total(
+def with_running_totals(
     df: DataFrame,
     group: list[str],
     coarse: str,
     fine: list[str | Column],
-    value: str,
-    name: str,
+    totals: dict[str, str],
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` per ``group`` in ``(coarse, fine)`` order.
+    """Inclusive running sums (value column -> new column) per ``group`` in ``(coarse, fine)`` order.
 
     ``coarse`` must be monotone in the wanted order. Slices are pre-summed map-side and
     carried forward, so the window that sorts rows holds one slice, not one group.
     """
     keys = [*group, coarse]
     earlier = Window.partitionBy(*group).orderBy(coarse).rowsBetween(Window.unboundedPreceding, -1)
-    carried = df.groupBy(*keys).agg(F.sum(value).alias("_slice")).select(
-        *keys, F.coalesce(F.sum("_slice").over(earlier), F.lit(0)).alias("_carried")
-    )
     inside = Window.partitionBy(*keys).orderBy(*fine).rowsBetween(Window.unboundedPreceding, 0)
+    slices = df.groupBy(*keys).agg(*[F.sum(v).alias(f"_slice_{v}") for v in totals])
+    carried = slices.select(
+        *keys, *[F.coalesce(F.sum(f"_slice_{v}").over(earlier), F.lit(0)).alias(f"_carried_{v}") for v in totals]
+    )
     return (
         df.join(carried, keys)
-        .withColumn(name, F.sum(value).over(inside) + F.col("_carried"))
-        .drop("_carried")
+        .withColumns({new: F.sum(v).over(inside) + F.col(f"_carried_{v}") for v, new in totals.items()})
+        .drop(*[f"_carried_{v}" for v in totals])
     )
