@@ -82,3 +82,92 @@ def system_c(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("processor.csv").alias("source_file"),
         F.regexp_replace("row_id", "^bank", "processor").alias("row_id"),
     ).select(*TRANSACTION_COLUMNS)
+
+
+def ledger_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as raw text: mixed date shapes, dollar signs, thousands commas, some ``n/a``."""
+    o, rank = _orders(spark, sf_dir), F.col("rank")
+    shapes = {1: "yyyy-MM-dd", 2: "MM/dd/yyyy", 3: "dd-MMM-yyyy", 4: "yyyy/MM/dd", 5: "MMM d yyyy"}
+    date = F
+    for n, shape in shapes.items():
+        date = date.when(rank == n, F.date_format("day", shape))
+    amount = (
+        F.when((F.col("o_orderstatus") == "P") & (rank == 5), F.lit("n/a"))
+        .when(F.col("o_orderstatus") == "F", F.concat(F.lit("$"), F.format_number("price", 2)))
+        .otherwise(F.col("price").cast("decimal(18,2)").cast("string"))
+    )
+    return o.select(
+        date.alias("Posted Date"), amount.alias("Total"), F.col("o_orderstatus").alias("Memo"),
+        F.concat(F.lit("ORD-"), F.col("o_orderkey")).alias("Ref"),
+        F.concat(F.lit("export_"), F.col("o_orderstatus"), F.lit(".csv")).alias("source_file"),
+        F.col("o_orderkey").alias("Line"),
+    )
+
+
+def signed_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as a bank would print it: filled orders as debits, the rest as credits."""
+    o = _orders(spark, sf_dir)
+    text = F.col("price").cast("decimal(18,2)").cast("string")
+    return o.select(
+        F.date_format("day", "yyyy-MM-dd").alias("Value-Date"),
+        F.when(F.col("o_orderstatus") != "F", text).alias("Credit"),
+        F.when(F.col("o_orderstatus") == "F", text).alias("Debit"),
+        F.concat(F.lit("ORD-"), F.col("o_orderkey")).alias("Trace"), F.lit("signed.csv").alias("source_file"),
+        (F.col("o_orderkey") + 1).alias("_row_number"),
+    )
+
+
+def payroll_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a payroll line of its customer on the order date."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_custkey").cast("string").alias("Emp_ID"), F.col("o_orderdate").cast("timestamp_ntz").alias("Pay_Date"),
+        F.col("o_totalprice").alias("401k_amount"),
+        F.concat(F.lit("payroll_"), F.col("o_orderstatus"), F.lit(".csv")).alias("source_file"),
+        (F.col("o_orderkey") + 1).alias("_row_number"),
+    )
+
+
+def bank_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deposits per pay date with weekday-specific defects, and one bank line per event.
+
+    Monday to Sunday: on time, on time, 4 % short, late, never paid, 12 % high, on time.
+    """
+    daily = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("timestamp_ntz").alias("day")).agg(
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")
+    ).withColumn("wd", F.weekday("day"))
+    lag = F.element_at(F.array(*[F.lit(n) for n in (1, 2, 2, 9, 0, 2, 1)]), F.col("wd") + 1)
+    share = F.when(F.col("wd") == 2, 0.96).when(F.col("wd") == 5, 1.12).otherwise(1.0)
+    number = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    paid = daily.where("wd <> 4").select(
+        F.concat(F.lit("D"), number).alias("deposit_id"), (F.col("day") + F.make_dt_interval(lag)).alias("transaction_date"),
+        round_half_up(F.col("total") * share, 2).alias("credit_amount"), F.lit("ACH CREDIT").alias("transaction_type"),
+        F.concat(F.lit("Employee deferral deposit "), F.date_format("day", "yyyyMMdd")).alias("description"),
+        F.lit("bank.csv").alias("source_file"), number.cast("long").alias("_row_number"),
+    )
+    kinds = {
+        "view": ("INTEREST CREDIT", "Monthly interest income"), "click": ("ACH DEBIT", "Wire transfer fee"),
+        "error": ("REVERSAL", "Reversal of entry"), "purchase": ("ACH DEBIT", "Card settlement"),
+        "signup": ("DEPOSIT", "Counter deposit"),
+    }
+    kind, words = F, F
+    for name, (a, b) in kinds.items():
+        kind, words = kind.when(F.col("event_type") == name, F.lit(a)), words.when(F.col("event_type") == name, F.lit(b))
+    lines = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("E"), F.col("event_id")).alias("deposit_id"), F.col("ts").cast("timestamp_ntz").alias("transaction_date"),
+        F.when(F.col("event_type") == "purchase", -F.col("value")).otherwise(F.col("value")).alias("credit_amount"),
+        kind.alias("transaction_type"), words.alias("description"), F.lit("bank_lines.csv").alias("source_file"),
+        (F.col("event_id") + 1).alias("_row_number"),
+    )
+    return paid.unionByName(lines)
+
+
+def posting_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of the payroll: pending low-priority lines are lost, urgent filled ones posted twice."""
+    o = table(spark, sf_dir, "orders")
+    status, rank = F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1)
+    times = F.when((status == "P") & (rank == "5"), 0).when((status == "F") & (rank == "1"), 2).otherwise(1)
+    return o.withColumn("n", F.explode(F.filter(F.sequence(F.lit(0), times), lambda i: i > 0))).select(
+        F.col("o_custkey").cast("string").alias("Participant_ID"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("Posted_Date"), F.col("o_totalprice").alias("Posted_Amount"),
+    )
