@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # workers need no installed copy of the package: these functions travel with the plan
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -65,7 +66,6 @@ def _short_ratios(left: list[str], right: list[str]) -> np.ndarray:
     return 2.0 * matched / (n_left + n_right)
 
 
-@F.pandas_udf("double")
 def _matching_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     out = np.full(len(left), np.nan)
     wanted = np.flatnonzero(left.notna().to_numpy())
@@ -90,5 +90,5 @@ def reference_similarity(ref_a: Column, ref_b: Column) -> Column:
     """
     blank = is_blank(ref_a) | is_blank(ref_b)
     compare = ~blank & (ref_a != ref_b)
-    ratio = _matching_ratio(F.when(compare, ref_a), F.when(compare, ref_b))
+    ratio = F.pandas_udf(_matching_ratio, T.DoubleType())(F.when(compare, ref_a), F.when(compare, ref_b))
     return F.when(blank, F.lit(UNKNOWN_SIMILARITY)).when(ref_a == ref_b, F.lit(1.0)).otherwise(ratio)
