@@ -6,46 +6,49 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TIME = r"(?:[T ](\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?)?"
-# Accepted date shapes in the order they are tried.
-# (pattern, group of year, month, day; -1 marks an English month name)
+# Accepted date shapes in the order they are tried, with the groups that
+# hold year, month and day.
 DATE_SHAPES = [
-    (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})" + _TIME + "$", (1, 2, 3), False),
-    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + _TIME + "$", (3, 1, 2), False),
-    (r"^(\d{1,2})[- ]([A-Za-z]{3,9})[- ,]+(\d{4})" + _TIME + "$", (3, 2, 1), True),
-    (r"^([A-Za-z]{3,9})[- .]+(\d{1,2})[- ,]+(\d{4})" + _TIME + "$", (3, 1, 2), True),
-    (r"^(\d{4})(\d{2})(\d{2})" + _TIME + "$", (1, 2, 3), False),
+    (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})" + _TIME + "$", (1, 2, 3)),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + _TIME + "$", (3, 1, 2)),
+    (r"^(\d{1,2})[- ]([A-Za-z]{3,9})[- ,]+(\d{4})" + _TIME + "$", (3, 2, 1)),
+    (r"^([A-Za-z]{3,9})[- .]+(\d{1,2})[- ,]+(\d{4})" + _TIME + "$", (3, 1, 2)),
+    (r"^(\d{4})(\d{2})(\d{2})" + _TIME + "$", (1, 2, 3)),
 ]
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+def _from_parts(parts: Column) -> Column:
+    """Timestamp from ``[year, month, day, hour, minute, second]`` texts; a name may stand for the month."""
+    at = F.instr(F.lit(MONTHS), F.lower(F.substring(parts[1], 1, 3)))
+    named = F.when(at % 3 == 1, ((at + 2) / 3).cast("int"))
+    year, day = parts[0].try_cast("int"), parts[2].try_cast("int")
+    month = F.coalesce(parts[1].try_cast("int"), named)
+    # a leading zero gives absent parts the value 0
+    hour, minute = (F.concat(F.lit("0"), parts[i]).try_cast("int") for i in (3, 4))
+    second = F.concat(F.lit("0"), parts[5]).try_cast("decimal(16,6)")
+    # month first; a month that cannot be is the day
+    swap = month > 12
+    return F.try_make_timestamp_ntz(
+        year, F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day), hour, minute, second
+    )
+
+
 def parse_date(text: Column) -> Column:
     """Zone-less timestamp from mixed date text; null when no shape fits.
 
     Slash dates are month first; when that month cannot be, the day is read first.
-    Missing parts are never filled in from today's date.
+    Missing parts are never filled in from today's date. The text is cut once into its
+    parts, whatever its shape.
     """
     text = F.trim(text.cast("string"))
-    result = F
-    for pattern, (year, month, day), named in DATE_SHAPES:
-        def part(group: int) -> Column:
-            return F.regexp_extract(text, pattern, group)
-
-        y, d = part(year).try_cast("int"), part(day)
-        m = part(month)
-        if named:
-            at = F.instr(F.lit(MONTHS), F.lower(F.substring(m, 1, 3)))
-            m = F.when(at % 3 == 1, ((at + 2) / 3).cast("int"))
-        else:
-            m = m.try_cast("int")
-        d = d.try_cast("int")
-        clock = [F.coalesce(part(4).try_cast("int"), F.lit(0)), F.coalesce(part(5).try_cast("int"), F.lit(0)),
-                 F.coalesce(part(6).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))]
-        value = F.try_make_timestamp_ntz(y, m, d, *clock)
-        if not named and (year, month, day) == (3, 1, 2):
-            value = F.coalesce(value, F.when(m > 12, F.try_make_timestamp_ntz(y, d, m, *clock)))
-        result = result.when(text.rlike(pattern), value)
-    return result
+    cut = F
+    for pattern, groups in DATE_SHAPES:
+        order = "|".join(f"${g}" for g in (*groups, 4, 5, 6))
+        cut = cut.when(text.rlike(pattern), F.regexp_replace(text, pattern, order))
+    parts = F.split(cut, r"\|")
+    return F.transform(F.array(parts), _from_parts)[0]
 
 
 def date_column(name: str, type_name: str) -> Column:

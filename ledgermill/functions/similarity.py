@@ -22,8 +22,10 @@ UNKNOWN_SIMILARITY = 0.5
 SHORT = 48
 
 
-def _codes(texts: list[str], width: int) -> np.ndarray:
-    return np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width)
+def _codes(texts: list[str]) -> np.ndarray:
+    """Character codes, one text per column."""
+    width = max(map(len, texts))
+    return np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width).T.astype(np.int32)
 
 
 def _short_ratios(left: list[str], right: list[str]) -> np.ndarray:
@@ -32,26 +34,30 @@ def _short_ratios(left: list[str], right: list[str]) -> np.ndarray:
     Each open piece of each pair gets its longest common block (first in the left text,
     then first in the right one); what lies before and after the block stays open.
     """
-    n_left, n_right = (np.array([len(t) for t in side], dtype=np.int64) for side in (left, right))
-    a, b = _codes(left, int(n_left.max())), _codes(right, int(n_right.max()))
+    at_left, some_left = pd.factorize(np.array(left, dtype=object))
+    at_right, some_right = pd.factorize(np.array(right, dtype=object))
+    n_left = np.array([len(t) for t in some_left])[at_left]
+    n_right = np.array([len(t) for t in some_right])[at_right]
+    a, b = _codes(list(some_left))[:, at_left], _codes(list(some_right))[:, at_right]
     matched = np.zeros(len(left), dtype=np.int64)
-    columns = np.arange(b.shape[1])
+    rows_a, rows_b = np.arange(a.shape[0])[:, None], np.arange(b.shape[0])[:, None]
     pair = np.arange(len(left))
     a0, a1, b0, b1 = np.zeros_like(pair), n_left, np.zeros_like(pair), n_right
     while len(pair):
-        inside = (columns >= b0[:, None]) & (columns < b1[:, None])
-        texts, other = a[pair], b[pair]
-        run = np.zeros(inside.shape, dtype=np.int8)
+        # characters outside the open piece become codes that equal nothing
+        one = np.where((rows_a >= a0) & (rows_a < a1), a[:, pair], -1)
+        two = np.where((rows_b >= b0) & (rows_b < b1), b[:, pair], -2)
+        run = np.zeros(two.shape, dtype=np.int8)
         size, end_a, end_b = (np.zeros(len(pair), dtype=np.int64) for _ in range(3))
         for i in range(int(a0.min()), int(a1.max())):
-            hit = (other == texts[:, i, None]) & inside & ((i >= a0) & (i < a1))[:, None]
-            longer = np.zeros_like(run)
-            longer[:, 1:] = run[:, :-1]
-            run = np.where(hit, longer + 1, 0).astype(np.int8)
-            at = run.argmax(axis=1)
-            best = run[np.arange(len(pair)), at]
-            better = best > size
-            size[better], end_a[better], end_b[better] = best[better], i + 1, at[better] + 1
+            hit = two == one[i]
+            run[1:] = (run[:-1] + 1) * hit[1:]
+            run[0] = hit[0]
+            best = run.max(axis=0)
+            better = np.flatnonzero(best > size)
+            if len(better):
+                size[better], end_a[better] = best[better], i + 1
+                end_b[better] = run[:, better].argmax(axis=0) + 1
         np.add.at(matched, pair, size)
         found = size > 0
         before = found & (end_a - size > a0) & (end_b - size > b0)
@@ -71,7 +77,7 @@ def _matching_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     wanted = np.flatnonzero(left.notna().to_numpy())
     if len(wanted):
         a, b = left.to_numpy()[wanted], right.to_numpy()[wanted]
-        short = np.array([len(p) <= SHORT and len(q) <= SHORT for p, q in zip(a, b)])
+        short = (left.str.len().to_numpy()[wanted] <= SHORT) & (right.str.len().to_numpy()[wanted] <= SHORT)
         if short.any():
             out[wanted[short]] = _short_ratios(a[short].tolist(), b[short].tolist())
         for i, p, q in zip(wanted[~short], a[~short], b[~short]):

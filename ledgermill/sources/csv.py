@@ -68,7 +68,8 @@ def with_row_numbers(df: DataFrame, source_file: str = "source_file", order_by:
         df = materialize(df.withColumn("_scan", F.monotonically_increasing_id()), "arrival")
         order_by = ["_scan"]
     numbered = with_dense_index(df, [source_file, *order_by], "_n")
-    first = numbered.groupBy(source_file).agg(F.min("_n").alias("_first"))
+    # one line per file, stored so that its true size decides the join
+    first = materialize(numbered.groupBy(source_file).agg(F.min("_n").alias("_first")), "files")
     return (
         numbered.join(first, source_file)
         .withColumn(ROW_NUMBER, F.col("_n") - F.col("_first") + 1)
