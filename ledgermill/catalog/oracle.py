@@ -260,6 +260,10 @@ three_way as (
     case when abs({_up('source_amount - target_amount', 2)}) <= 0.01::double then 'Reconciled' else 'Variance' end as reconciled_status from compared)"""
 
 
+def _digits(expr: str) -> str:
+    return f"coalesce(regexp_replace(cast(cast({expr} as decimal(20,2)) as varchar), '0$', ''), 'None')"
+
+
 def _best_match() -> str:
     return f"""with {SYSTEM_A}, {_system_b(False)}, {PAIRS},
 ranked as (select *, row_number() over (partition by n order by exact desc, score desc, p) as r from pairs)
@@ -350,6 +354,11 @@ from due join calendar c1 on c1.d = required_deposit_date left join calendar c2
     "case_summary": _schedule(f"""select *, {_up('total_payroll - total_deposited', 2)} as variance from (
   select count(*) as pay_periods, count(*) filter (where exception_type <> 'None') as exceptions, count(*) filter (where late_flag = 'Yes') as late_deposits,
     {_CENTS.format('payroll_total')} as total_payroll, {_CENTS.format('deposit_total')} as total_deposited from schedule)"""),
+    "trace_summaries": _schedule(f"""select {DAY} as case_date, concat_ws(chr(10), 'Pay date: ' || {DAY}, 'Payroll total: ' || {_digits('payroll_total')},
+  'Deposit total: ' || {_digits('deposit_total')}, 'Variance: ' || {_digits(VARIANCE)}, 'Exception type: ' || exception_type, 'Severity: ' || severity,
+  'Days late: ' || case when late_flag = 'Yes' then days_to_deposit else 0 end, 'Recommended action: ' || recommended_action,
+  'Payroll source files: ' || coalesce(payroll_source_files, 'None'), 'Deposit source files: ' || coalesce(deposit_source_files, 'None')) as summary
+  from schedule where review_required = 'YES'"""),
     "trace_payroll": _schedule("""select strftime(p.pay_date, '%Y-%m-%d') as case_date, employee_id, deferral_amount, payroll_row_id
   from payroll p join schedule s on s.pay_date = p.pay_date where review_required = 'YES'"""),
     "trace_deposits": _schedule(f"""select {DAY} as case_date, d.deposit_id, d.deposit_date, d.deposit_amount, d.source_file, d.deposit_row_id

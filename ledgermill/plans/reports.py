@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.functions.parsing import component_list, date_text
@@ -235,10 +235,14 @@ def trace_summaries(schedule: DataFrame) -> DataFrame:
     def line(label: str, value: Column) -> Column:
         return F.concat(F.lit(f"{label}: "), F.coalesce(value.cast("string"), F.lit("None")))
 
+    def amount(value: Column) -> Column:
+        # plain digits at any size, one decimal at least
+        return F.regexp_replace(value.cast("decimal(20,2)").cast("string"), "0$", "")
+
     late_days = F.when(F.col("late_flag") == "Yes", F.col("days_to_deposit")).otherwise(F.lit(0))
     lines = [
-        line("Pay date", date_text(F.col("pay_date"))), line("Payroll total", F.col("payroll_total")),
-        line("Deposit total", F.col("deposit_total")), line("Variance", _variance()),
+        line("Pay date", date_text(F.col("pay_date"))), line("Payroll total", amount(F.col("payroll_total"))),
+        line("Deposit total", amount(F.col("deposit_total"))), line("Variance", amount(_variance())),
         line("Exception type", F.col("exception_type")), line("Severity", F.col("severity")),
         line("Days late", late_days), line("Recommended action", F.col("recommended_action")),
         line("Payroll source files", F.col("payroll_source_files")),
