@@ -36,9 +36,9 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> bytes:
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[width - 1:].tolist())], ">u8")
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # 255 bits add up within a byte
+        bits = np.unpackbits(hashes[at:at + 255].view(np.uint8)).reshape(-1, 64)
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
     return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
