@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgermill.llm.exact_dedup import deduplicate, new_index
 from ledgermill.llm.simhash import near_duplicates
+from ledgermill.llm.substring_dedup import remove_repeats as remove_repeated_words
+from ledgermill.llm.suffix_dedup import remove_repeats as remove_repeated_bytes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_bytes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_words(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = new_index(spark, f"digest-index-{uuid.uuid4().hex}")
     found = deduplicate(_table(spark, sf_dir, "documents"), index)
@@ -26,6 +38,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
