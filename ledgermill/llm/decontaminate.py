@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill.llm.textbytes import LOWER, Words, text_bytes, text_slices, window_hashes
@@ -107,14 +107,13 @@ class Items:
                     starts.setdefault((row, self.sizes[number]), set()).add(max(start, int(words.first[row])))
             if not starts:
                 continue
-            order = {int(a): k for k, a in enumerate(at)}
             for (row, length), firsts in starts.items():
                 end = int(words.first[row + 1])
                 for start in sorted(firsts):
                     stop = min(start + length, end) - size + 1
                     if stop <= start:
                         continue
-                    k = order[start]
+                    k = int(np.searchsorted(at, start))
                     window = Counter(found[k:k + stop - start].tolist())
                     keys = np.array(list(window), np.uint64)
                     fingerprint = simhash(keys, np.array(list(window.values()), np.int64))
@@ -147,22 +146,14 @@ def find_benchmark(
     more than ``max_item_bytes`` text bytes is refused. Null texts are empty; repeated rows give
     repeated rows; other columns are ignored; an empty table on either side gives no match.
     """
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_item_bytes:
-        raise ValueError(f"benchmark texts have {size} bytes; at most {max_item_bytes} are sent to every task")
-    rows = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))).orderBy("item_id").collect()
-    sent = docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+    sent = benchmark_items(docs.sparkSession, benchmark, max_item_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*sent.value, shingle_words)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64())]))
         for batch in batches:
             for part, raw, borders in text_slices(batch):
-                words = Words(LOWER[raw], borders)
-                found: list[list[dict]] = [[] for _ in range(part.num_rows)]
-                if items.ids and len(words.row):
-                    for row, number, first, length, value in items.matches(words, words.hashes(), similarity):
-                        found[row].append({"item_id": items.ids[number], "first_word": first, "n_words": length, "similarity": value})
+                found = _found(items, raw, borders, similarity)
                 ids = [sorted({m["item_id"] for m in f if m["item_id"] is not None}) for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([bool(f) for f in found]), pa.array(ids, pa.list_(pa.int64())),
@@ -170,3 +161,39 @@ def find_benchmark(
                     ["doc_id", "contaminated", "item_ids", "best_similarity", "matches"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _FOUND)
+
+
+def benchmark_items(spark: SparkSession, benchmark: DataFrame, max_item_bytes: int = MAX_ITEM_BYTES):
+    """The items, sent to every task once their size is known to be within the bound."""
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_item_bytes:
+        raise ValueError(f"benchmark texts have {size} bytes; at most {max_item_bytes} are sent to every task")
+    rows = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))).orderBy("item_id").collect()
+    return spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+
+
+def _found(items: Items, raw: np.ndarray, borders: np.ndarray, similarity: float) -> list[list[dict]]:
+    """Matches of every row of a slice."""
+    words = Words(LOWER[raw], borders)
+    found: list[list[dict]] = [[] for _ in range(len(borders) - 1)]
+    if items.ids and len(words.row):
+        for row, number, first, length, value in items.matches(words, words.hashes(), similarity):
+            found[row].append({"item_id": items.ids[number], "first_word": first, "n_words": length, "similarity": value})
+    return found
+
+
+def without_benchmark(
+    docs: DataFrame, benchmark: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY
+) -> DataFrame:
+    """The rows of ``docs``, all columns, in which :func:`find_benchmark` finds no item."""
+    sent = benchmark_items(docs.sparkSession, benchmark)
+
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        items = Items(*sent.value, shingle_words)
+        for column in texts:
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            flags = [not f for _, raw, borders in text_slices(batch) for f in _found(items, raw, borders, similarity)]
+            yield pa.array(flags, pa.bool_())
+
+    return docs.where(clean(F.col("text")))
