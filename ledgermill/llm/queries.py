@@ -5,17 +5,33 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgermill.llm.decontaminate import find_benchmark
 from ledgermill.llm.exact_dedup import deduplicate, new_index
+from ledgermill.llm.html_text import extract_text
+from ledgermill.llm.language_id import held_out_rows, identify, learn_profiles
+from ledgermill.llm.line_dedup import drop_recurring_lines
+from ledgermill.llm.packing import pack
 from ledgermill.llm.simhash import near_duplicates
 from ledgermill.llm.substring_dedup import remove_repeats as remove_repeated_words
 from ledgermill.llm.suffix_dedup import remove_repeats as remove_repeated_bytes
+from ledgermill.llm.toxicity import fit, score_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_recurring_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -30,6 +46,27 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "item_ids", F.round("best_similarity", 6).alias("best_similarity"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_documents(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out_rows().alias("held_out"), "score", "predicted")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, learn_profiles(docs.where(~held_out_rows())))
+    return found.select("doc_id", held_out_rows().alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = new_index(spark, f"digest-index-{uuid.uuid4().hex}")
     found = deduplicate(_table(spark, sf_dir, "documents"), index)
@@ -37,9 +74,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op7_html_text": op7_html_text,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
