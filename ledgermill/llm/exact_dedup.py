@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgermill.session import checkpoint_root, discard, materialize
@@ -47,16 +47,10 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, known, text_sha256``.
+def _fresh_groups(docs: DataFrame, index: DigestIndex) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, digest)`` of every row, and per digest the row to keep, the size, whether it was known.
 
-    Of equal texts (A-Z lower-cased, null as empty) the row with the largest ``doc_id`` stays,
-    unless the index already holds the text: then ``known`` is true and no row of the group is
-    kept. New digests are appended before the result is returned. ``keep_id`` is the largest
-    ``doc_id`` of the group in this batch. Rows that repeat a ``doc_id`` within a group are all
-    marked alike; a null ``doc_id`` is smaller than any other and kept only if its group has
-    no other. Columns besides ``doc_id`` and ``text`` are ignored; an empty table gives an
-    empty table.
+    Digests that are not in the index are appended to it.
     """
     digests = materialize(docs.select(F.col("doc_id").cast("long"), digest(F.col("text")).alias("digest")), "digests")
     # combined map-side: a text held by a third of all rows is one row per task here
@@ -70,11 +64,44 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     ).select("digest", "keep_id", "group_size", F.col("fresh").isNull().alias("known"))
     marked = materialize(marked, "marked-groups")
     discard(groups)
+    return digests, marked
+
+
+def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """One row per document: ``doc_id, keep_id, group_size, kept, known, text_sha256``.
+
+    Of equal texts (A-Z lower-cased, null as empty) the row with the largest ``doc_id`` stays,
+    unless the index already holds the text: then ``known`` is true and no row of the group is
+    kept. New digests are appended before the result is returned. ``keep_id`` is the largest
+    ``doc_id`` of the group in this batch. Rows that repeat a ``doc_id`` within a group are all
+    marked alike; a null ``doc_id`` is smaller than any other and kept only if its group has
+    no other. Columns besides ``doc_id`` and ``text`` are ignored; an empty table gives an
+    empty table.
+    """
+    digests, marked = _fresh_groups(docs, index)
     return digests.join(marked, "digest").select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("known")).alias("kept"),
         "known", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def without_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`deduplicate` keeps; of rows alike in text and ``doc_id``, one.
+
+    Rows meet their group on digest and id together, so the copies of a text do not meet in one task.
+    """
+    _, marked = _fresh_groups(docs, index)
+    own, key, place = "_exact_dedup_id", "_exact_dedup_digest", "_exact_dedup_place"
+    least = F.lit(-(1 << 63)).cast("long")
+    kept = marked.where("NOT known").select(F.col("digest").alias(key), F.coalesce("keep_id", least).alias(own))
+    rows = docs.withColumns({key: digest(F.col("text")), own: F.coalesce(F.col("doc_id").cast("long"), least)})
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    order = Window.partitionBy(key, own).orderBy(F.xxhash64(*hashed))
+    return (
+        rows.join(kept, [key, own]).withColumn(place, F.row_number().over(order))
+        .where(F.col(place) == 1).select(*docs.columns)
+    )
+
+
 def new_index(spark: SparkSession, name: str, buckets: int = BUCKETS) -> DigestIndex:
     """An index in a folder of its own under the shared folder."""
     return DigestIndex(spark, f"{checkpoint_root(spark).rstrip('/')}/{name}", buckets)

@@ -222,3 +222,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
     named = materialize(classes.join(smallest, "component").select("fp", "component_id"), "named-prints")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose ``doc_id`` is the smallest of its component.
+
+    Rows that share a ``doc_id`` stay or go together; rows without one stay when their component has no ``doc_id``.
+    """
+    found = near_duplicates(docs, shingle_words)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = materialize(kept, "kept-ids")
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
