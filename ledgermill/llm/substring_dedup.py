@@ -20,7 +20,8 @@ BLOCK_SLOTS = 1 << 20
 # Slots of one sketch row. Wider rows let fewer unrepeated windows through to the exact pass; the
 # result is the same at any width. The upper bound keeps what is sent to every task at 2 x 64 MB.
 MIN_SLOTS, MAX_SLOTS = 1 << 20, 1 << 29
-_TASK_WINDOWS = 1 << 22
+# Windows that a task holds before it sends them on.
+_HELD_COUNTS, _HELD_WINDOWS = 1 << 21, 1 << 20
 
 
 def sketch_slots(text_bytes: int) -> int:
@@ -89,7 +90,7 @@ def merged_sketch(docs: DataFrame, size: int, slots: int) -> list[bytearray]:
                 for r, s in enumerate(_slots(first, second, slots)):
                     held[r].append(s.astype(np.uint32))
                 total += len(at)
-                if total >= _TASK_WINDOWS:
+                if total >= _HELD_COUNTS:
                     yield from flush()
                     total = 0
         if total:
@@ -169,7 +170,7 @@ def removed_positions(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
                 ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
                 held.append((first, (second & np.uint64(0xFFFFFFFF00000000)) | position, ids[row].astype(np.int64)))
                 count += len(at)
-                if count >= _TASK_WINDOWS:
+                if count >= _HELD_WINDOWS:
                     yield flush()
                     count = 0
         if count:
