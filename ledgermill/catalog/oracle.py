@@ -2,8 +2,38 @@
 
 from __future__ import annotations
 
-from ledgermill.functions.classify import OUTCOMES, SEVERITY
-
+# Code, label, reason, action and severity of every outcome, stated here apart from the engine.
+_NONE = "No action required."
+_LINK = "Review candidate set and confirm the correct linkage."
+OUTCOMES = {
+    "missing_in_a": ("missing_in_a", "Missing in System A", "Record appears in other systems but not in System A.",
+                     "Request missing export or confirm omission.", "high"),
+    "missing_in_b": ("missing_in_b", "Missing in System B", "Record appears in System A but not in System B.",
+                     "Request missing export or verify posting.", "high"),
+    "missing_in_c": ("missing_in_c", "Missing in System C", "Record appears in Systems A/B but not in System C.",
+                     "Request System C export or verify posting.", "high"),
+    "duplicate": ("duplicate_candidate", "Duplicate Candidate", "Duplicate records detected within a source system.",
+                  "Check for duplicate export or de-duplicate source data.", "low"),
+    "many_resolved": ("matched", "Matched", "High confidence match resolved from multiple candidates.", _NONE, "low"),
+    "many_probable": ("probable_match", "Probable Match", "Multiple candidates exist; highest confidence match is probable.",
+                      "Review and confirm the suggested match.", "medium"),
+    "many_ambiguous": ("ambiguous_match", "Ambiguous Match",
+                       "Multiple candidates exist on both sides within the matching window.", _LINK, "medium"),
+    "one_to_many": ("one_to_many", "One-to-Many", "One record in System A maps to multiple candidates in System B.",
+                    "Verify batch grouping or split logic.", "medium"),
+    "many_to_one": ("many_to_one", "Many-to-One", "Multiple records in System A could map to a single System B record.",
+                    "Verify aggregation or batch posting.", "medium"),
+    "amount_mismatch": ("amount_mismatch", "Amount Mismatch", "Amounts are close but not an exact match.",
+                        "Validate amounts or identify adjustments.", "high"),
+    "partial_probable": ("probable_match", "Probable Match", "Match is likely but amount variance exists.",
+                         "Review and confirm the match.", "medium"),
+    "partial_weak": ("partial_match_candidate", "Partial Match Candidate", "Amounts are close but confidence is low.",
+                     "Review source records and matching rules.", "medium"),
+    "exact_matched": ("matched", "Matched", "Amount and date align within tolerance.", _NONE, "low"),
+    "exact_probable": ("probable_match", "Probable Match", "Match is likely but reference or timing is weak.",
+                       "Review and confirm the match.", "medium"),
+    "exact_weak": ("ambiguous_match", "Ambiguous Match", "Exact amount but insufficient supporting signals.", _LINK, "medium"),
+}
 
 def _pad(expr: str, width: int) -> str:
     text = f"cast({expr} as varchar)"
@@ -49,19 +79,69 @@ DATE_SCORE = ("(case when days = 0 then 1.0::double when days <= 3 then 0.7::dou
 CANDIDATES = f"""counts_a as (select a.row_id, count(*) as n from sa a join sb b on {NEAR_DATE} and {GAP} / {BASE} <= 0.1::double group by 1),
 counts_b as (select b.row_id, count(*) as n from sa a join sb b on {NEAR_DATE} and {GAP} / {BASE} <= 0.1::double group by 1)"""
 
-# B without references: every reference similarity is 0.5
-PAIRS = f"""ordered_a as (
-  select *, row_number() over (order by txn_date, source_file, length(row_id), row_id) as n from sa),
-placed_b as (
+# Ratio of matching blocks of two unequal texts: the longest common block (earliest in the first text, then in the
+# second), and the same again left and right of it. One row per stretch still to compare, one per block found.
+RATIOS = """blocks(ra, rb, size, a0, a1, b0, b1) as (
+  select ra, rb, 0, 1, length(ra) + 1, 1, length(rb) + 1 from compared
+  union all
+  select ra, rb, part.size, part.a0, part.a1, part.b0, part.b1 from (
+    select ra, rb, unnest([{'size': m.size, 'a0': 0, 'a1': 0, 'b0': 0, 'b1': 0},
+      {'size': 0, 'a0': a0, 'a1': -m.i, 'b0': b0, 'b1': -m.j}, {'size': 0, 'a0': m.size - m.i, 'a1': a1, 'b0': m.size - m.j, 'b1': b1}]) as part
+    from (select ra, rb, a0, a1, b0, b1, list_max(flatten(list_transform(range(a0, a1), lambda i: list_transform(range(b0, b1), lambda j:
+        {'size': len(list_filter(range(1, least(a1 - i, b1 - j) + 1), lambda k: substr(ra, i, k) = substr(rb, j, k))), 'i': -i, 'j': -j})))) as m
+      from blocks where size = 0 and a1 > a0 and b1 > b0) where m.size > 0)),
+ratios as materialized (select ra, rb, 2.0::double * sum(size) / (length(ra) + length(rb)) as ratio from blocks group by ra, rb)"""
+
+
+def _similarity(ra: str, rb: str) -> str:
+    return (f"(case when coalesce({ra}, '') = '' or coalesce({rb}, '') = '' then 0.5::double when {ra} = {rb} then 1.0::double "
+            "else r.ratio end)")
+
+
+def _ordered(source: str, target: str, number: str) -> str:
+    """Rows of a system in matching order, copies next to their first copy."""
+    return f"""placed_{target} as (
   select *, min(lpad(cast(length(row_id) as varchar), 4, '0') || row_id) over (
-    partition by txn_date, txn_amount, coalesce(reference, '')) as first_copy from sb),
-ordered_b as (
-  select *, row_number() over (order by txn_date, source_file, first_copy, length(row_id), row_id) as p from placed_b),
-pairs as (
-  select n, p, gap <= 0.01::double as exact, txn_date_b,
-    0.55::double * (1.0::double - least(gap / base, 1.0::double)) + 0.25::double * {DATE_SCORE} + 0.2::double * 0.5::double as score
-  from (select a.n, b.p, b.txn_date as txn_date_b, {GAP} as gap, {BASE} as base, {DAYS} as days
-        from ordered_a a join ordered_b b on {NEAR_DATE} and ({GAP} <= 0.01::double or {GAP} / {BASE} <= 0.1::double)))"""
+    partition by txn_date, txn_amount, coalesce(reference, '')) as first_copy from {source}),
+ordered_{target} as (
+  select *, row_number() over (order by txn_date, source_file, first_copy, length(row_id), row_id) as {number} from placed_{target})"""
+
+
+def _band(target: str, left: str, key: str, right: str, number: str) -> str:
+    return f"""{target} as materialized (
+  select a.{key}, b.{number}, b.txn_date as txn_date_b, a.reference as ra, b.reference as rb, {GAP} as gap, {BASE} as scale, {DAYS} as days
+  from {left} a join {right} b on {NEAR_DATE} and ({GAP} <= 0.01::double or {GAP} / {BASE} <= 0.1::double))"""
+
+
+def _scored(target: str, band: str, key: str, number: str) -> str:
+    return f"""{target} as (
+  select {key}, {number}, gap <= 0.01::double as exact, txn_date_b,
+    0.55::double * (1.0::double - least(gap / scale, 1.0::double)) + 0.25::double * {DATE_SCORE} + 0.2::double * {_similarity('b.ra', 'b.rb')} as score
+  from {band} b left join ratios r on r.ra = b.ra and r.rb = b.rb)"""
+
+
+def _compared(*bands: str) -> str:
+    parts = " union ".join(f"select distinct ra, rb from {b} where ra <> rb and ra <> '' and rb <> ''" for b in bands)
+    return f"compared as materialized ({parts})"
+
+
+ORDERED = f"""ordered_a as (
+  select *, row_number() over (order by txn_date, source_file, length(row_id), row_id) as n from sa), {_ordered('sb', 'b', 'p')}"""
+PAIRS = f"""{ORDERED}, {_band('band', 'ordered_a', 'n', 'ordered_b', 'p')}, {_compared('band')}, {RATIOS}, {_scored('pairs', 'band', 'n', 'p')}"""
+
+# the third system: system B one day later, without its charge lines
+SYSTEM_C = f"""sc as (
+  select txn_date + interval 1 day as txn_date, txn_amount, description, reference, 'processor.csv' as source_file,
+    'processor' || substr(row_id, 5) as row_id from sb where description <> 'charge'), {_ordered('sc', 'c', 'q')}"""
+PAIRS_C = f"""{ORDERED}, {SYSTEM_C}, bases as (
+  select 'a' || n as base, txn_date, txn_amount, reference from ordered_a union all select 'b' || p, txn_date, txn_amount, reference from ordered_b),
+{_band('band', 'ordered_a', 'n', 'ordered_b', 'p')}, {_band('band_c', 'bases', 'base', 'ordered_c', 'q')},
+{_compared('band', 'band_c')}, {RATIOS}, {_scored('pairs', 'band', 'n', 'p')}, {_scored('pairs_c', 'band_c', 'base', 'q')},
+thirds as materialized (
+  select base, txn_amount as amount_c, source_file as source_c_file, row_id as source_c_row_id from (
+    select *, row_number() over (partition by base order by exact desc, score desc, q) as r from pairs_c) join ordered_c using (q) where r = 1)"""
+NO_THIRD = """thirds as (select cast(null as varchar) as base, cast(null as double) as amount_c, cast(null as varchar) as source_c_file,
+  cast(null as varchar) as source_c_row_id where false)"""
 
 # A rows in order, each taking its best B that is still free; only B rows inside the
 # date window of the current row have to be remembered as taken
@@ -85,39 +165,41 @@ def _text(position: int) -> str:
     return f"case outcome {whens} end"
 
 
-SEVERITIES = " ".join(f"when '{k}' then '{v}'" for k, v in SEVERITY.items())
-
-RESULT = f"""matches as (select n, p from walk where p is not null),
+def _result(with_c: bool) -> str:
+    missing_c = "when amount_c is null then 'missing_in_c'" if with_c else ""
+    return f"""matches as (select n, p from walk where p is not null),
 joined as (
   select a.txn_date as txn_date_a, a.txn_amount as txn_amount_a, a.description as description_a,
     a.reference as reference_a, a.source_file as source_file_a, a.row_id as row_id_a,
     b.txn_date as txn_date_b, b.txn_amount as txn_amount_b, b.description as description_b,
-    b.reference as reference_b, b.source_file as source_file_b, b.row_id as row_id_b
+    b.reference as reference_b, b.source_file as source_file_b, b.row_id as row_id_b, coalesce('a' || a.n, 'b' || b.p) as base
   from ordered_a a left join matches m on m.n = a.n full outer join ordered_b b on b.p = m.p),
 measured as (
-  select *, row_id_a is not null as present_in_a, row_id_b is not null as present_in_b,
+  select joined.*, thirds.* exclude (base), {_similarity('reference_a', 'reference_b')} as ref_sim, row_id_a is not null as present_in_a, row_id_b is not null as present_in_b,
     cast(floor(abs(epoch_us(txn_date_b) - epoch_us(txn_date_a)) / 86400000000) as int) as date_delta_days,
     abs(txn_amount_b - txn_amount_a) as amount_delta,
     coalesce(ca.n, 0) as candidate_count_a, coalesce(cb.n, 0) as candidate_count_b,
     row_id_a in (select row_id from (select row_id, count(*) over (partition by txn_date, txn_amount, coalesce(reference, '')) c from sa) where c > 1) as dup_a,
     row_id_b in (select row_id from (select row_id, count(*) over (partition by txn_date, txn_amount, coalesce(reference, '')) c from sb) where c > 1) as dup_b
-  from joined left join counts_a ca on ca.row_id = row_id_a left join counts_b cb on cb.row_id = row_id_b),
+  from joined left join counts_a ca on ca.row_id = row_id_a left join counts_b cb on cb.row_id = row_id_b
+    left join ratios r on r.ra = reference_a and r.rb = reference_b left join thirds on thirds.base = joined.base),
 scored as (
   select *, case when not (present_in_a and present_in_b) then 'Missing' when amount_delta <= 0.01::double then 'Exact' else 'Partial' end as match_status,
     case when present_in_a and present_in_b then {_up('''greatest(0.0::double, least(1.0::double,
       0.5::double * (1.0::double - least(amount_delta / greatest(abs(txn_amount_a), 1e-9::double), 1.0::double))
-      + 0.2::double * ''' + DATE_SCORE.replace('days', 'date_delta_days') + ''' + 0.2::double * 0.5::double
+      + 0.2::double * ''' + DATE_SCORE.replace('days', 'date_delta_days') + ''' + 0.2::double * ref_sim
       + 0.1::double * (case when candidate_count_a <= 1 and candidate_count_b <= 1 then 1.0::double
           when candidate_count_a > 1 and candidate_count_b > 1 then 0.3::double else 0.6::double end)))''', 2)} else 0.0::double end as confidence_score
   from measured),
 decided as (
-  select *, case when not present_in_a then 'missing_in_a' when not present_in_b then 'missing_in_b'
+  select *, case when not present_in_a then 'missing_in_a' when not present_in_b then 'missing_in_b' {missing_c}
     when coalesce(dup_a, false) or coalesce(dup_b, false) then 'duplicate'
     when candidate_count_a > 1 and candidate_count_b > 1 then
       case when confidence_score >= 0.85::double then 'many_resolved' when confidence_score >= 0.6::double then 'many_probable' else 'many_ambiguous' end
     when candidate_count_a > 1 then 'one_to_many' when candidate_count_b > 1 then 'many_to_one'
     when match_status = 'Partial' then
       case when confidence_score >= 0.85::double then 'amount_mismatch' when confidence_score >= 0.6::double then 'partial_probable' else 'partial_weak' end
+    when ref_sim >= 0.6::double or (coalesce(reference_a, '') = '' and coalesce(reference_b, '') = '') then 'exact_matched'
     when confidence_score >= 0.6::double then 'exact_probable' else 'exact_weak' end as outcome
   from scored),
 worded as (select *, {_text(0)} as exception_code from decided),
@@ -126,15 +208,20 @@ result as (
     description_b, reference_b, source_file_b, row_id_b, date_delta_days, amount_delta, match_status,
     case match_status when 'Exact' then 'None' when 'Partial' then 'Amount Mismatch' else 'Missing Match' end as exception_type,
     candidate_count_a, candidate_count_b, coalesce(dup_a, false) as duplicate_in_a, coalesce(dup_b, false) as duplicate_in_b,
-    present_in_a, present_in_b, false as present_in_c, txn_amount_a as amount_a, txn_amount_b as amount_b,
-    cast(null as double) as amount_c, cast(null as varchar) as source_c_file, cast(null as varchar) as source_c_row_id,
+    present_in_a, present_in_b, amount_c is not null as present_in_c, txn_amount_a as amount_a, txn_amount_b as amount_b,
+    amount_c, source_c_file, source_c_row_id,
     exception_code, {_text(1)} as exception_label, {_text(2)} as exception_reason, {_text(3)} as suggested_action,
-    confidence_score, case exception_code {SEVERITIES} end as severity,
-    (case (case exception_code {SEVERITIES} end) when 'high' then 3 when 'medium' then 2 else 1 end) * 1000000.0::double
-      + greatest(coalesce(abs(txn_amount_a), 0.0), coalesce(abs(txn_amount_b), 0.0)) as priority_rank
+    confidence_score, {_text(4)} as severity,
+    (case {_text(4)} when 'high' then 3 when 'medium' then 2 else 1 end) * 1000000.0::double
+      + greatest(coalesce(abs(txn_amount_a), 0.0), coalesce(abs(txn_amount_b), 0.0), coalesce(abs(amount_c), 0.0)) as priority_rank
   from worded)"""
 
-PLAIN = f"with recursive {SYSTEM_A}, {_system_b(False)}, {CANDIDATES}, {PAIRS}, {TAKEN}, {RESULT} "
+def _whole(references: bool, with_c: bool = False) -> str:
+    pairs = PAIRS_C if with_c else f"{PAIRS}, {NO_THIRD}"
+    return f"with recursive {SYSTEM_A}, {_system_b(references)}, {CANDIDATES}, {pairs}, {TAKEN}, {_result(with_c)} "
+
+
+PLAIN = _whole(references=False)
 
 # -- remittance ------------------------------------------------------------------------
 
@@ -264,8 +351,8 @@ def _digits(expr: str) -> str:
     return f"coalesce(regexp_replace(cast(cast({expr} as decimal(20,2)) as varchar), '0$', ''), 'None')"
 
 
-def _best_match() -> str:
-    return f"""with {SYSTEM_A}, {_system_b(False)}, {PAIRS},
+def _best_match(references: bool) -> str:
+    return f"""with recursive {SYSTEM_A}, {_system_b(references)}, {PAIRS},
 ranked as (select *, row_number() over (partition by n order by exact desc, score desc, p) as r from pairs)
 select a.row_id as row_id_a, b.row_id as row_id_b, exact, score from ranked join ordered_a a using (n) join ordered_b b using (p) where r = 1"""
 
@@ -287,6 +374,9 @@ ORACLE: dict[str, str] = {
     "credit_minus_debit": f"""with {ORDERS} select day as txn_date, case when o_orderstatus = 'F' then 0.0::double - price else price end as txn_amount,
   cast(null as varchar) as description, 'ORD-' || o_orderkey as reference, 'signed.csv' as source_file,
   'signed.csv:TXN' || {_pad('o_orderkey + 1', 5)} as row_id from o""",
+    # the checked folder of shared tables, as the query lists it
+    "file_inventory": """select parse_filename(filename) as filename, sha256(content) as sha256, size as file_size_bytes
+  from read_blob('/root/testdata/sf0.01/*.parquet')""",
     "row_numbers": """select 'lines_' || l_returnflag as source_file, l_orderkey, l_linenumber,
   row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber) as row_number from lineitem""",
     "candidate_counts": f"""with {SYSTEM_A}, {_system_b(True)}, {CANDIDATES}
@@ -294,10 +384,13 @@ select 'A' as system, sa.row_id, coalesce(n, 0) as candidate_count from sa left
 union all select 'B', sb.row_id, coalesce(n, 0) from sb left join counts_b using (row_id)""",
     "duplicates": f"""with {ORDERS}, {_system_b(True)} select row_id,
   count(*) over (partition by txn_date, txn_amount, coalesce(reference, '')) > 1 as duplicate from sb""",
-    "best_match": _best_match(),
+    "best_match": _best_match(references=False),
+    "best_match_referenced": _best_match(references=True),
     "exclusive_match": f"""with recursive {SYSTEM_A}, {_system_b(False)}, {PAIRS}, {TAKEN}
 select a.row_id as row_id_a, b.row_id as row_id_b from walk join ordered_a a using (n) join ordered_b b on b.p = walk.p""",
     "reconcile_plain": PLAIN + "select * from result",
+    "reconcile_ab": _whole(references=True) + "select * from result",
+    "reconcile_abc": _whole(references=True, with_c=True) + "select * from result",
     "matched": PLAIN + "select * from result where exception_code = 'matched'",
     "probable": PLAIN + "select * from result where exception_code = 'probable_match'",
     "exceptions": PLAIN + "select * from result where exception_code <> 'matched'",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -24,7 +25,7 @@ from ledgermill.operators.threeway import posting_exceptions, three_way_schedule
 from ledgermill.plans import outputs as O
 from ledgermill.plans import reports as R
 from ledgermill.plans.reconcile import reconcile_transactions
-from ledgermill.session import materialize
+from ledgermill.session import checkpoint_root, materialize
 from ledgermill.sources import derived as D
 from ledgermill.sources.csv import ROW_NUMBER, with_row_numbers
 from ledgermill.sources.inventory import file_inventory
@@ -37,6 +38,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 _STORED: dict[tuple, DataFrame] = {}
 
 
+def forget_shared() -> None:
+    """Make the next query compute what it starts from (timing)."""
+    _STORED.clear()
+
+
 def _shared(name: str, spark: SparkSession, sf_dir: str, build: Query) -> DataFrame:
     key = (spark.sparkContext.applicationId, str(Path(sf_dir)), name)
     if key not in _STORED:
@@ -95,21 +101,22 @@ def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_rows(b, classes, "p").select("row_id", (F.col("copies") > 1).alias("duplicate"))
 
 
-def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best B for every A, shared freely. B carries no references, so every similarity is the unknown value."""
-    a, b = _classes(spark, sf_dir, references=False)
+def _best(spark: SparkSession, sf_dir: str, references: bool) -> DataFrame:
+    """Best B for every A row, copies included; B may serve many."""
+    a, b = _classes(spark, sf_dir, references)
     best = best_candidates(a.select("x", *CLASS_KEY), b.select("p", *CLASS_KEY), TOL)
-    return best.join(a.select("x", F.col("first.row_id").alias("row_id_a")), "x").join(
-        b.select("p", F.col("first.row_id").alias("row_id_b")), "p"
-    ).select("row_id_a", "row_id_b", "exact", "score")
+    rows_a = class_rows(D.system_a(spark, sf_dir), a, "x").select("x", F.col("row_id").alias("row_id_a"))
+    return rows_a.join(best, "x").join(b.select("p", F.col("first.row_id").alias("row_id_b")), "p").select(
+        "row_id_a", "row_id_b", "exact", "score")
+
+
+def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B carries no references here, so every similarity is the unknown value."""
+    return _best(spark, sf_dir, references=False)
 
 
 def best_match_referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _classes(spark, sf_dir)
-    best = best_candidates(a.select("x", *CLASS_KEY), b.select("p", *CLASS_KEY), TOL)
-    return best.join(a.select("x", F.col("first.row_id").alias("row_id_a")), "x").join(
-        b.select("p", F.col("first.row_id").alias("row_id_b")), "p"
-    ).select("row_id_a", "row_id_b", "exact", "score")
+    return _best(spark, sf_dir, references=True)
 
 
 def exclusive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,9 +155,11 @@ def _on_plain(report: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs = file_inventory(spark, sf_dir, "orders.parquet")
-    stats = R.run_stats(reconcile_plain(spark, sf_dir))
-    return O.case_manifest("case", inputs, file_inventory(spark, sf_dir, "events.parquet"), stats)
+    result = reconcile_plain(spark, sf_dir)
+    folder = f"{checkpoint_root(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}"
+    O.write_match_outputs(result, folder)
+    return O.case_manifest(
+        "case", file_inventory(spark, sf_dir, "orders.parquet"), file_inventory(spark, folder, "part-*"), R.run_stats(result))
 
 
 # -- remittance ------------------------------------------------------------------------
@@ -181,8 +190,7 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payroll = _payroll(spark, sf_dir)
-    return component_ids(payroll, payroll_totals(payroll))
+    return component_ids(_payroll(spark, sf_dir))
 
 
 def noise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

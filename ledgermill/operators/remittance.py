@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from ledgermill.functions.calendar import add_business_days, business_days_between, is_late_deposit
 from ledgermill.functions.scoring import round_half_up
 from ledgermill.operators.deposits import nearest_later_deposit
+from ledgermill.operators.prefix import with_dense_index
 from ledgermill.schemas import SCHEDULE_COLUMNS
 
 PARTIAL_LIMIT = 0.10
 LOW_CONFIDENCE = 0.90
 ANNUAL_RATE = 0.05
 LATE_THRESHOLD = 3
-# Pay dates with more rows name their component table instead of listing every id as text;
-# the component table itself is always complete.
-LISTED_COMPONENTS = 10_000
+# Ids that are joined to text at once; cells are put together from such pieces.
+TEXT_PIECE = 1_000
 
 # Review fields by exception type.
 REVIEW = {
@@ -41,14 +41,26 @@ def payroll_totals(payroll: DataFrame) -> DataFrame:
     )
 
 
-def component_ids(payroll: DataFrame, totals: DataFrame) -> DataFrame:
-    """Component ids per pay date in row order, as text."""
-    listed = totals.where(F.col("payroll_rows") <= LISTED_COMPONENTS).select("pay_date")
-    entry = F.struct("source_file", F.length("payroll_row_id").alias("digits"), "payroll_row_id")
-    lists = payroll.join(listed, "pay_date", "left_semi").groupBy("pay_date").agg(
-        F.array_sort(F.collect_list(entry)).alias("e")
-    )
-    return lists.select("pay_date", F.array_join(F.col("e.payroll_row_id"), ", ").alias("payroll_component_ids"))
+def components(payroll: DataFrame) -> DataFrame:
+    """Long form: ``pay_date, position, payroll_row_id``, positions running on over all pay dates in row order."""
+    entries = payroll.select("pay_date", "source_file", F.length("payroll_row_id").alias("digits"), "payroll_row_id")
+    order = ["pay_date", "source_file", "digits", "payroll_row_id"]
+    return with_dense_index(entries, order, "position").select("pay_date", "position", "payroll_row_id")
+
+
+def component_ids(payroll: DataFrame) -> DataFrame:
+    """Component ids per pay date in row order, as text: one form at every size.
+
+    Rows are numbered by one range shuffle, pieces of ``TEXT_PIECE`` ids become text, and a
+    cell is its pieces in order. No task sorts the rows of a day; the cell itself is as long
+    as its day.
+    """
+    piece = F.floor(F.col("position") / TEXT_PIECE).alias("piece")
+    pieces = components(payroll).groupBy("pay_date", piece).agg(
+        F.array_sort(F.collect_list(F.struct("position", "payroll_row_id"))).alias("e")
+    ).select("pay_date", F.struct("piece", F.array_join(F.col("e.payroll_row_id"), ", ").alias("text")).alias("part"))
+    cells = pieces.groupBy("pay_date").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return cells.select("pay_date", F.array_join(F.col("parts.text"), ", ").alias("payroll_component_ids"))
 
 
 def match_grade(total: Column, amount: Column, tolerance: float = 0.01) -> tuple[Column, Column]:
@@ -119,7 +131,7 @@ def remittance_schedule(
     )
     rows = (
         totals.join(chosen, "pay_date", "left").join(files, "pay_date", "left")
-        .join(component_ids(payroll, totals), "pay_date", "left")
+        .join(component_ids(payroll), "pay_date", "left")
     )
     total, deposit = F.col("payroll_total"), F.col("deposit_amount")
     status, confidence = match_grade(total, deposit, tolerance)
@@ -133,8 +145,6 @@ def remittance_schedule(
         "raw_confidence": confidence,
         "late_flag": F.when(late, F.lit("Yes")).when(~late, F.lit("No")),
         "exception_type": exception_type(status, late),
-        "payroll_component_ids": F.coalesce("payroll_component_ids", F.concat(
-            F.col("payroll_rows").cast("string"), F.lit(" rows in payroll_components"))),
         "deposit_component_ids": F.col("deposit_row_id"),
     })
     kind = F.col("exception_type")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from ledgermill.session import materialize
 
 # engine-side columns: full path (file names can repeat), position in the file
 PATH, ROW_NUMBER = "_path", "_row_number"
+HEADER_BYTES = 1 << 14
 FILE_KINDS = ("payroll", "trust", "transactions")
 
 
@@ -31,7 +35,7 @@ def read_export(
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_scan"),
     )
-    df = _numbered(tagged)
+    df = _numbered(materialize(tagged, "scan"))
     for source, target in (column_mapping or {}).items():
         if source in raw.columns:
             df = df.withColumnRenamed(source, target)
@@ -84,12 +88,12 @@ def read_exports(
     file_type: str = "transactions",
     multi_line: bool = False,
 ) -> DataFrame:
-    """Union of several exports; missing columns become null."""
+    """Union of several exports, one scan per header; missing columns become null."""
     if file_type not in FILE_KINDS:
         raise ValueError(f"Unknown file_type: {file_type}")
     if not paths:
         return spark.createDataFrame([], "source_file string")
-    frames = [read_export(spark, p, column_mapping, multi_line) for p in paths]
+    frames = [read_export(spark, group, column_mapping, multi_line) for group in group_by_header(spark, paths).values()]
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
@@ -108,21 +112,27 @@ def list_exports(spark: SparkSession, folder: str) -> list[str]:
     return paths
 
 
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        lines = []
+        for uri in batch["path"]:
+            fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+            line = b""
+            with fs.open_input_stream(path) as stream:
+                while b"\n" not in line and (block := stream.read(HEADER_BYTES)):
+                    line += block
+            lines.append(line.split(b"\n", 1)[0].decode("utf-8", "replace").rstrip("\r"))
+        yield pd.DataFrame({"path": batch["path"], "header": lines})
+
+
 def group_by_header(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
     """Files by header line, so each distinct header is one scan instead of one per file.
 
-    Headers are read on the cluster: the first line of every file, one row per file.
+    Spark lists the files; executors read the first block of each one only.
     """
-    lines = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("n"),
-    )
-    first = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "n").alias("header"))
-    by_header = first.groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths"))
-    return {row.header: list(row.paths) for row in by_header.orderBy("header").collect()}
-
-
-def require_columns(df: DataFrame, names: list[str], kind: str) -> None:
-    for name in names:
-        if name not in df.columns:
-            raise ValueError(f"Missing required column in {kind} file: {name}")
+    listed = spark.read.format("binaryFile").load(paths).select("path")
+    first = listed.mapInPandas(_first_lines, "path string, header string")
+    groups: dict[str, list[str]] = {}
+    for row in first.orderBy("header", "path").toLocalIterator():
+        groups.setdefault(row.header, []).append(row.path)
+    return groups

@@ -87,10 +87,11 @@ def system_c(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger as raw text: mixed date shapes, dollar signs, thousands commas, some ``n/a``."""
     o, rank = _orders(spark, sf_dir), F.col("rank")
-    shapes = {1: "yyyy-MM-dd", 2: "MM/dd/yyyy", 3: "dd-MMM-yyyy", 4: "yyyy/MM/dd", 5: "MMM d yyyy"}
-    date = F
-    for n, shape in shapes.items():
-        date = date.when(rank == n, F.date_format("day", shape))
+    shapes = ["yyyy-MM-dd", "MM/dd/yyyy", "dd-MMM-yyyy", "yyyy/MM/dd", "MMM d yyyy", "yyyy.MM.dd", "yyyy-MM-dd'T'HH:mm:ss'Z'",
+              "EEE, dd MMM yyyy", "M/d/yyyy h:mm a", "yyyy-MM-dd HH:mm:ss'+02:00'"]
+    kind, date = rank - 1 + 5 * (F.col("o_orderkey") % 2), F
+    for n, shape in enumerate(shapes):
+        date = date.when(kind == n, F.date_format("day", shape))
     amount = (
         F.when((F.col("o_orderstatus") == "P") & (rank == 5), F.lit("n/a"))
         .when(F.col("o_orderstatus") == "F", F.concat(F.lit("$"), F.format_number("price", 2)))

@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# a file is one value in memory while it is hashed; Spark's own array limit is 2 GB
-MAX_FILE_BYTES = 1 << 30
+BLOCK_BYTES = 1 << 20
+
+
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        digests = []
+        for uri in batch["path"]:
+            fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+            digest = hashlib.sha256()
+            with fs.open_input_stream(path) as stream:
+                while block := stream.read(BLOCK_BYTES):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield batch.assign(sha256=digests)[["filename", "sha256", "file_size_bytes"]]
 
 
-def file_inventory(spark: SparkSession, path: str, pattern: str = "*", max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``filename, sha256, file_size_bytes`` of every file below ``path``.
 
-    Files beyond ``max_bytes`` fail the job instead of being skipped; Spark outputs stay
-    below it because each task writes its own part.
+    Spark lists the files without reading them; executors read each one in blocks, so a file of any
+    size takes constant memory. The store must be one that pyarrow opens by its URI.
     """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true").load(path)
+        .select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("file_size_bytes"))
     )
-    checked = F.when(F.col("length") <= max_bytes, F.sha2("content", 256)).otherwise(
-        F.raise_error(F.concat(F.lit("file too large to hash as one value: "), F.col("path")))
-    )
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"), checked.alias("sha256"),
-        F.col("length").alias("file_size_bytes"),
-    )
+    return files.mapInPandas(_hashed, "filename string, sha256 string, file_size_bytes long")

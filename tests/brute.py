@@ -46,8 +46,9 @@ def score(a, b, window, tol, partial):
 
 
 def best(a, rows, window, tol, partial):
+    """The first best of ``rows`` in their order."""
     found = None
-    for b in _order(rows):
+    for b in rows:
         s = score(a, b, window, tol, partial)
         if s is not None and (found is None or s > found[0]):
             found = (s, b)

@@ -9,8 +9,8 @@ from ledgermill.catalog.queries import QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = "/root/testdata/sf0.001"
-CHECKED = ["normalize_orders", "candidate_counts", "reconcile_plain", "remittance_schedule", "evidence_index",
-           "three_way_schedule"]
+CHECKED = ["normalize_orders", "candidate_counts", "best_match_referenced", "reconcile_ab", "reconcile_abc", "remittance_schedule",
+           "evidence_index", "three_way_schedule"]
 
 
 def test_every_oracle_has_a_query():

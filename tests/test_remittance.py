@@ -4,10 +4,11 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgermill.operators.deposits import nearest_later_deposit
 from ledgermill.operators.normalize import normalize_deposits, normalize_payroll
-from ledgermill.operators.remittance import component_ids, payroll_totals, remittance_schedule, simple_schedule
+from ledgermill.operators.remittance import component_ids, remittance_schedule, simple_schedule
 from ledgermill.operators.threeway import posting_exceptions, three_way_schedule, validation_failures
 from ledgermill.plans import reports as R
 
@@ -135,7 +136,16 @@ def test_older_schedule_and_components(case):
         ("Matched", "No"), ("Missing", "Yes"), ("Matched", "Yes"), ("Matched", "No"), ("Missing", "No")]
     counts = R.simple_status_counts(R.simple_exception_log(rows)).first()
     assert tuple(counts) == (2, 0, 1)
-    assert component_ids(payroll, payroll_totals(payroll)).count() == 5
+    assert component_ids(payroll).count() == 5
+
+
+def test_a_day_of_many_rows_lists_every_id(spark):
+    rows = spark.range(12_345).select(
+        F.lit("E").alias("employee_id"), F.lit("2025-01-10").cast("timestamp_ntz").alias("pay_date"), F.lit(1.0).alias("deferral_amount"),
+        F.lit("p.csv").alias("source_file"), F.concat(F.lit("p.csv:PAY"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("payroll_row_id"))
+    other = rows.limit(3).withColumn("pay_date", F.lit("2025-02-10").cast("timestamp_ntz"))
+    found = {r.pay_date.month: r.payroll_component_ids for r in component_ids(rows.unionAll(other)).collect()}
+    assert found[1] == ", ".join(f"p.csv:PAY{i:05d}" for i in range(12_345)) and found[2].count(",") == 2
 
 
 def test_three_way(spark, case):
