@@ -269,77 +269,93 @@ def _sort_keys(length: int):
     return run
 
 
+def _pieces_cut_finer(length: int, reach: int):
+    """Segments to shorter ones: their own anchors at a smaller reach, with the place in the longer segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, raw, borders in text_slices(batch.rename_columns(["key", "c1", "c2", "weight", "starts", "text"]), 64 << 10):
+                found = _anchors(raw, borders, length, reach)
+                if found is None:
+                    continue
+                row, _, begin, end, key, c1, c2 = found
+                data = raw.tobytes()
+                at = (borders[row] + begin).tolist()
+                pieces = [data[i:i + n] for i, n in zip(at, (end - begin - 1 + length).tolist())]
+                parents = [pa.array(rows.column(c).to_numpy()[row]) for c in ("key", "c1", "c2")]
+                yield pa.RecordBatch.from_arrays(
+                    [*parents, pa.array(begin.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (key, c1, c2)),
+                     pa.array(rows.column("weight").to_numpy()[row]), pa.array((end - begin).astype(np.int32)),
+                     pa.array(pieces, pa.binary())],
+                    ["pkey", "p1", "p2", "place", "key", "c1", "c2", "weight", "starts", "piece"])
+
+    return run
+
+
+_CHILD = "pkey long, p1 long, p2 long, place int, key long, c1 long, c2 long, weight long, starts int, piece binary"
+_RANGE = "key long, c1 long, c2 long, lo int, hi int"
+
+
+def _piece_ranges(pieces: DataFrame, length: int, reach: int, key_segments: int) -> DataFrame:
+    """Repeated start ranges of distinct segments ``(key, c1, c2, weight, starts, piece)``.
+
+    The segments of a key are sorted in one task. A key with more than ``key_segments`` of them is
+    cut into shorter segments with longer cores, which spread over many keys; equal ones are again
+    one weighted segment, and what is found for it holds at its place in every longer one. At a
+    reach of 1 a key is the string itself and has one segment.
+    """
+    sizes = materialize(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("segments"), F.sum("weight").alias("copies")), "key-sizes")
+    sized = pieces.join(sizes.where("copies > 1"), "key")
+    if reach == 1:
+        key_segments = (1 << 63) - 1  # one segment a key, whatever the hash says
+    small = sized.where(F.col("segments") <= key_segments).select("key", "c1", "c2", "weight", "starts", "piece")
+    ranges = materialize(small.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_keys(length), _RANGE), "segment-ranges")
+    crowded = sizes.where(F.col("segments") > key_segments).select("key")
+    if crowded.isEmpty():
+        return ranges
+    reach = max(1, reach // 4)
+    children = materialize(
+        pieces.join(crowded, "key").select("key", "c1", "c2", "weight", "starts", "piece")
+        .mapInArrow(_pieces_cut_finer(length, reach), _CHILD), "finer-segments")
+    kinds = children.groupBy("key", "c1", "c2").agg(
+        F.sum("weight").alias("weight"), F.first("starts").alias("starts"), F.first("piece").alias("piece"))
+    found = _piece_ranges(materialize(kinds, "finer-kinds"), length, reach, key_segments)
+    above = children.drop("piece").join(found, ["key", "c1", "c2"]).select(
+        F.col("pkey").alias("key"), F.col("p1").alias("c1"), F.col("p2").alias("c2"),
+        (F.col("place") + F.col("lo")).alias("lo"), (F.col("place") + F.col("hi")).alias("hi"))
+    return ranges.unionByName(materialize(above, "finer-ranges"))
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, key_segments: int = KEY_SEGMENTS) -> DataFrame:
     """``(doc_id, lo, hi)``: starts ``lo <= s < hi`` whose ``length`` bytes also start anywhere else.
 
     Equal strings have equal anchors and equal cores, so all strings that can be equal meet under
     one key, the hash of the core. Keys that occur once are dropped. Equal segments (128 hash bits)
-    are one weighted segment; the distinct segments of a key are sorted together. A key with more
-    than ``key_segments`` of them is worked again with a smaller reach, that is longer cores and
-    shorter start ranges, until at a reach of 1 a key is the string itself and has one segment.
+    are one weighted segment, read once from one document; see :func:`_piece_ranges` for the rest.
     """
-    found = None
     reach = length * 3 // 4
     anchors = materialize(anchor_segments(docs, length, reach), "anchors")
-    while True:
-        counts = materialize(
-            anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated-keys")
-        repeated = materialize(anchors.join(counts, "key"), "repeated-anchors")
-        discard(anchors)
-        contents = materialize(
-            repeated.groupBy("key", "c1", "c2").agg(
-                F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "begin", "end")).alias("one")), "segments")
-        sizes = materialize(contents.groupBy("key").agg(F.count(F.lit(1)).alias("segments")), "key-sizes")
-        sized = materialize(contents.join(sizes, "key"), "sized-segments")
-        small = sized.where((F.col("segments") <= key_segments) & (F.col("segments") > 1))
-        wanted = small.select("key", "c1", "c2", "weight", "one.doc_id", "one.begin", "one.end")
-        pieces = _cut_segments(docs, wanted, length)
-        ranges = pieces.drop("doc_id").repartition("key").sortWithinPartitions("key").mapInArrow(
-            _sort_keys(length), "key long, c1 long, c2 long, lo int, hi int")
-        # a key with one segment that occurs more than once: all its starts repeat
-        alone = sized.where("segments = 1").select(
-            "key", "c1", "c2", F.lit(0).alias("lo"), (F.col("one.end") - F.col("one.begin")).cast("int").alias("hi"))
-        ranges = materialize(ranges.unionByName(alone), "segment-ranges")
-        placed = repeated.join(ranges, ["key", "c1", "c2"]).select(
-            "doc_id", (F.col("begin") + F.col("lo")).alias("lo"), (F.col("begin") + F.col("hi")).alias("hi"))
-        placed = materialize(placed, "placed-ranges")
-        found = placed if found is None else found.unionByName(placed)
-        crowded = sized.where(F.col("segments") > key_segments).select("key").distinct()
-        if crowded.isEmpty():
-            return found
-        again = materialize(repeated.join(crowded, "key").select("doc_id", "begin", "end"), "crowded-starts")
-        reach = max(1, reach // 4)
-        anchors = materialize(_finer(docs, again, length, reach), "anchors")
-
-
-def _finer(docs: DataFrame, ranges: DataFrame, length: int, reach: int) -> DataFrame:
-    """Anchor segments of the given start ranges only, with a smaller reach."""
-    lists = materialize(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("w")), "crowded-lists")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, raw, borders in text_slices(batch):
-                pieces, owner, shift = [], [], []
-                for r, items in enumerate(rows.column("w").to_pylist()):
-                    for x in items:
-                        a = int(borders[r]) + x["begin"]
-                        pieces.append(raw[a:min(int(borders[r + 1]), int(borders[r]) + x["end"] - 1 + length)])
-                        owner.append(r)
-                        shift.append(x["begin"])
-                if not pieces:
-                    continue
-                cut = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-                found = _anchors(np.concatenate(pieces), cut, length, reach)
-                if found is None:
-                    continue
-                row, at, begin, end, key, c1, c2 = found
-                owner, shift = np.array(owner)[row], np.array(shift)[row]
-                ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[owner].astype(np.int64)), *(pa.array((x + shift).astype(np.int32)) for x in (at, begin, end)),
-                     *(pa.array(x.view(np.int64)) for x in (key, c1, c2))], [f.split()[0] for f in _ANCHOR.split(", ")])
-
-    return docs.join(lists, "doc_id").select("doc_id", "text", "w").mapInArrow(run, _ANCHOR)
+    counts = materialize(
+        anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated-keys")
+    repeated = materialize(anchors.join(counts, "key"), "repeated-anchors")
+    discard(anchors)
+    contents = materialize(
+        repeated.groupBy("key", "c1", "c2").agg(
+            F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "begin", "end")).alias("one")), "segments")
+    sizes = materialize(contents.groupBy("key").agg(F.count(F.lit(1)).alias("segments")), "segment-counts")
+    sized = materialize(contents.join(sizes, "key"), "sized-segments")
+    # a key with one segment that occurs more than once: all its starts repeat
+    alone = sized.where("segments = 1").select(
+        "key", "c1", "c2", F.lit(0).alias("lo"), (F.col("one.end") - F.col("one.begin")).cast("int").alias("hi"))
+    wanted = sized.where("segments > 1").select("key", "c1", "c2", "weight", "one.doc_id", "one.begin", "one.end")
+    pieces = materialize(_cut_segments(docs, wanted, length).drop("doc_id"), "pieces")
+    ranges = materialize(alone.unionByName(_piece_ranges(pieces, length, reach, key_segments)), "all-ranges")
+    found = repeated.join(ranges, ["key", "c1", "c2"]).select(
+        "doc_id", (F.col("begin") + F.col("lo")).alias("lo"), (F.col("begin") + F.col("hi")).alias("hi"))
+    found = materialize(found, "placed-ranges")
+    for stored in (counts, repeated, contents, sizes, sized, pieces, ranges):
+        discard(stored)
+    return found
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

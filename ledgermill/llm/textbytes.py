@@ -23,7 +23,10 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     """All UTF-8 bytes of a string column and the ``n + 1`` row borders; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if not pa.types.is_binary(column.type):
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+    else:
+        column = column.cast(pa.large_binary())
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
