@@ -121,7 +121,10 @@ def best_match_referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exclusive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _classes(spark, sf_dir, references=False)
-    pairs = unit_pairs(exclusive_match(a, b, TOL))
+    counts, _ = candidate_counts(a, b, TOL.date_window_days, TOL.partial_tolerance)
+    counted = a.join(counts, ["t", "amt"], "left").withColumn(
+        "candidate_count", F.coalesce("candidate_count", F.lit(0).cast("long")))
+    pairs = unit_pairs(exclusive_match(counted, b, TOL))
     rows_a = class_rows(D.system_a(spark, sf_dir), a, "x").select("x", F.col("rank").alias("rank_a"), F.col("row_id").alias("row_id_a"))
     rows_b = class_rows(D.system_b(spark, sf_dir, False), b, "p").select("p", F.col("rank").alias("rank_b"), F.col("row_id").alias("row_id_b"))
     return pairs.join(rows_a, ["x", "rank_a"]).join(rows_b, ["p", "rank_b"]).select("row_id_a", "row_id_b")
