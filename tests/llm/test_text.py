@@ -75,6 +75,32 @@ def test_benchmark_empty_tables(spark):
         D.find_benchmark(documents(spark, []), spark.createDataFrame(ITEMS, "item_id long, text string"), max_item_bytes=10)
 
 
+@pytest.mark.parametrize("block_bytes", [500])
+def test_benchmark_of_several_blocks_gives_the_result_of_one(spark, block_bytes):
+    item = ITEMS[2][1].split()
+    near = " ".join([*item[:25], "edited", *item[25:]])
+    items = [*ITEMS, (8, near), (9, " ".join(item[1:])), (None, ITEMS[1][1]), (3, ITEMS[2][1])]
+    rows = awkward() + [(50, ITEMS[0][1] + " " + ITEMS[1][1]), (51, near), (51, near), (52, prose(92, 9) + " " + " ".join(item)), (53, "x three words only y")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(D.item_blocks(benchmark, block_bytes))) > 1
+    one = D.find_benchmark(documents(spark, rows), benchmark).collect()
+    got = D.find_benchmark(documents(spark, rows), benchmark, block_bytes=block_bytes).collect()
+    assert Counter(map(repr, got)) == Counter(map(repr, one)) and {r.doc_id for r in got if r.contaminated} == {50, 51, 52, 53}
+    docs = documents(spark, rows)
+    clean = D.without_benchmark(docs, benchmark, block_bytes=block_bytes)
+    assert clean.dtypes == docs.dtypes
+    assert Counter(map(repr, clean.collect())) == Counter(map(repr, D.without_benchmark(docs, benchmark).collect()))
+
+
+def test_benchmark_over_the_former_bound_is_searched(spark):
+    # 20.5 MB of items; one of them stands in a document
+    items = spark.range(100).select(F.col("id").alias("item_id"), F.concat(F.lit("wörd "), F.repeat(F.format_string("w%d ", "id"), 60_000)).alias("text"))
+    items = items.withColumn("text", F.substring("text", 1, 205_000)).unionByName(spark.createDataFrame(ITEMS, "item_id long, text string"))
+    assert items.agg(F.sum(F.octet_length("text"))).first()[0] > 20_000_000
+    got = D.find_benchmark(documents(spark, [(1, ITEMS[1][1]), (2, prose(7, 50)), (3, None)]), items).collect()
+    assert {r.doc_id: r.item_ids for r in got} == {1: [2], 2: [], 3: []}
+
+
 def test_block_index_finds_everything_within_the_radius():
     random = np.random.default_rng(5)
     prints = random.integers(0, 1 << 63, 300, dtype=np.uint64)
