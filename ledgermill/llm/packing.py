@@ -45,43 +45,63 @@ class Bins:
         return replace(self, room=self.room - each * length, parts=[*self.parts, (length, first, each)])
 
 
-def _fill(space: int, counts: dict[int, int], sizes: list[int]) -> int:
-    """Tokens of ``space`` that the remaining items fill, taking the longest that fits each time."""
-    filled, at = 0, bisect.bisect_right(sizes, space) - 1
+def _fill(space: int, counts: dict[int, int], sizes: list[int]) -> dict[int, int]:
+    """Items by size that fill ``space``, taking the longest remaining one that fits each time."""
+    taken, at = {}, bisect.bisect_right(sizes, space) - 1
     while at >= 0:
         size = sizes[at]
-        take = min(counts[size], (space - filled) // size)
-        filled += take * size
-        at = min(at, bisect.bisect_right(sizes, space - filled)) - 1
-    return filled
+        take = min(counts[size], space // size)
+        if take:
+            taken[size] = take
+            space -= take * size
+        at = min(at, bisect.bisect_right(sizes, space)) - 1
+    return taken
 
 
 def opening_size(
     length: int, counts: dict[int, int], sizes: list[int], capacities: tuple[int, ...], cost: Callable[[int], float]
 ) -> int:
     """The capacity with the least cost per token it would hold: this item and what then fits beside it."""
-    best = None
+    return _opening(length, counts, sizes, capacities, cost)[0]
+
+
+def _opening(
+    length: int, counts: dict[int, int], sizes: list[int], capacities: tuple[int, ...], cost: Callable[[int], float]
+) -> tuple[int, dict[int, int], int]:
+    """:func:`opening_size`, the items beside the first in such a bin, and for how many bins in a row this choice stands."""
+    best, fills = None, {}
     for capacity in capacities:
         if capacity >= length:
-            price = cost(capacity) / (length + _fill(capacity - length, counts, sizes))
+            fills[capacity] = _fill(capacity - length, counts, sizes)
+            price = cost(capacity) / (length + sum(size * n for size, n in fills[capacity].items()))
             if best is None or price < best[0]:
                 best = (price, capacity)
-    return best[1]
+    beside = fills[best[1]]
+    used = {**beside, length: beside.get(length, 0) + 1}
+    # the choice stands while there is as much left of each size as any of the capacities would take
+    times = 1 + min((counts[size] - max(f.get(size, 0) for f in fills.values())) // n for size, n in used.items())
+    return best[1], beside, times
 
 
 def plan(
-    histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], float] = default_cost
+    histogram: dict[int, int],
+    capacities: tuple[int, ...] = CAPACITIES,
+    cost: Callable[[int], float] = default_cost,
+    promise: bool = False,
 ) -> list[Bins]:
     """Best-fit decreasing over ``length -> number of items``; bins alike are handled together.
 
     Lengths go from long to short. Items go to the open bins with the least room that fits them;
-    what fits nowhere opens bins of the size that costs least for each token it would hold. At the
-    end each bin shrinks to the smallest permitted size that holds its contents. Work and result
-    grow with the number of different lengths, not with the number of items.
+    what fits nowhere opens bins of the size that costs least for each token it would hold, judged
+    for each bin. With ``promise``, shorter items that were counted on for one bin are not counted on
+    for another; without it every length is judged by its first bin alone, as if the shorter items
+    could fill all its bins. At the end each bin shrinks to the smallest permitted size that holds its
+    contents. Work and result grow with the number of different lengths, not with the number of items.
     """
     capacities = tuple(sorted(capacities))
     counts = {k: v for k, v in histogram.items() if v > 0}
     sizes = sorted(counts)
+    free = dict(counts)  # items not promised to an open bin
     rooms: list[int] = []  # the different rooms of open bins, sorted
     open_bins: dict[int, list[Bins]] = {}
     done: list[Bins] = []
@@ -105,9 +125,12 @@ def plan(
                 if not open_bins[rooms[at]]:
                     del open_bins[rooms.pop(at)]
             else:
-                counts[length] = left - 1
-                capacity = opening_size(length, counts, sizes, capacities, cost)
-                bins = Bins(-(-left // (capacity // length)), capacity, capacity)
+                free[length] = left - 1
+                capacity, beside, times = _opening(length, free, sizes, capacities, cost)
+                if promise:
+                    for size, n in beside.items():
+                        free[size] -= n * times
+                bins = Bins(times if promise else -(-left // (capacity // length)), capacity, capacity)
             each = bins.room // length
             full = min(bins.count, left // each)
             filled, bins = bins.divided(full)
@@ -153,7 +176,7 @@ def pack(
     # at most one line per length up to the largest capacity
     histogram = {r["n_tokens"]: r["count"] for r in pieces.groupBy("n_tokens").count().collect()}
     entries, first_bin = [], 0
-    for bins in plan(histogram, capacities, cost):
+    for bins in plan(histogram, capacities, cost, promise=True):
         offset = 0
         for length, first, each in bins.parts:
             entries.append((length, first, first + bins.count * each, each, first_bin, offset, bins.capacity))

@@ -147,6 +147,54 @@ def test_plan_equals_item_by_item_packing(seed):
     assert got == packed_by_hand(histogram, capacities)
 
 
+def packed_one_by_one(histogram, capacities):
+    """As packed_by_hand, but each opened bin is judged anew and keeps what was counted on to fill it."""
+    bins, counts, free, clock = [], dict(histogram), dict(histogram), 0
+    for length in sorted(histogram, reverse=True):
+        while counts[length]:
+            counts[length] -= 1
+            fitting = [b for b in bins if b[1] >= length]
+            if fitting:
+                chosen = min(fitting, key=lambda b: (b[1], b[3]))
+            else:
+                options = []
+                for capacity in (c for c in capacities if c >= length):
+                    beside, room, left = [], capacity - length, Counter({**{k: free[k] for k in counts if k < length}, length: counts[length]})
+                    while fits := [k for k, n in left.items() if n > 0 and k <= room]:
+                        beside.append(max(fits))
+                        room -= beside[-1]
+                        left[beside[-1]] -= 1
+                    options.append((P.default_cost(capacity) / (capacity - room), capacity, beside))
+                _, size, beside = min(options, key=lambda o: o[:2])
+                for k in beside:
+                    free[k] -= k < length
+                chosen = [size, size, [], 0]
+                bins.append(chosen)
+            clock += 1
+            chosen[1] -= length
+            chosen[2].append(length)
+            chosen[3] = clock
+        del counts[length]
+    return Counter((next(c for c in capacities if c >= sum(b[2])), tuple(b[2])) for b in bins)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_plan_judges_each_bin(seed):
+    random = np.random.default_rng(seed)
+    capacities = [(4, 8, 16), (5, 12, 30), (8, 32, 64)][seed % 3]
+    histogram = {int(k): int(random.integers(1, 40)) for k in random.integers(1, capacities[-1] + 1, 8)}
+    got = Counter()
+    for bins in P.plan(histogram, capacities, promise=True):
+        got[bins.capacity, tuple(length for length, _, each in bins.parts for _ in range(each))] += bins.count
+    assert got == packed_one_by_one(histogram, capacities)
+
+
+def test_one_short_text_does_not_decide_for_all_bins(spark):
+    texts = spark.range(301).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") == 300, 1022).otherwise(1024)).alias("text"))
+    bins = P.pack(texts).select("bin_id", "capacity").distinct().groupBy("capacity").count().collect()
+    assert {r["capacity"]: r["count"] for r in bins} == {2048: 1, 4096: 100}
+
+
 def test_packing_places_every_token_once(spark):
     rows, capacities = awkward(), (16, 64, 256)
     got = P.pack(documents(spark, rows), capacities=capacities).collect()
