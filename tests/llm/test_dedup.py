@@ -15,6 +15,7 @@ from ledgermill.llm import substring_dedup as W
 from ledgermill.llm import suffix_dedup as B
 from ledgermill.llm.components import connected_components
 from ledgermill.llm.exact_dedup import deduplicate, new_index, without_copies
+from ledgermill.llm.queries import op1_line_dedup
 from text_tables import awkward, documents, prose
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -248,3 +249,13 @@ def test_line_dedup(spark):
     want = Counter(lines_by_hand(rows, 1, 4, 0.5))
     assert Counter(tuple(r) for r in got) == want
     assert all(r.n_dropped == 2 for r in got if r.doc_id and r.doc_id >= 40)
+
+
+def test_line_dedup_with_a_variable_leading_token_and_the_querys_own_parameters(spark, tmp_path):
+    rows = awkward() + [(40 + i, f"user {prose(i + 300, 1)}q{'abcdefghijkl'[i]} logged in at 10:{i}\nown words {prose(i + 70, 6)}") for i in range(12)]
+    rows += [(60 + i, f"{'abcdefghijkl'[i]}x came to see us today") for i in range(12)]
+    rows += [(80 + i, f"seldom {'abcdefghijkl'[i]}y is what this line has") for i in range(9)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op1_line_dedup(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    assert all(r.n_dropped == (1 if r.doc_id and 40 <= r.doc_id < 72 else 0) for r in got)
