@@ -13,10 +13,13 @@ from ledgermill.llm.html_text import extract_text
 from ledgermill.llm.language_id import held_out_rows, identify, learn_profiles
 from ledgermill.llm.line_dedup import drop_recurring_lines
 from ledgermill.llm.packing import pack
+from ledgermill.llm.resampling import draw
 from ledgermill.llm.simhash import near_duplicates
+from ledgermill.llm.spelling import group_variants
 from ledgermill.llm.substring_dedup import remove_repeats as remove_repeated_words
 from ledgermill.llm.suffix_dedup import remove_repeats as remove_repeated_bytes
 from ledgermill.llm.toxicity import fit, score_documents
+from ledgermill.llm.warc_archive import new_archive, parsed, read_archive, write_archive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +76,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = new_archive(spark, f"warc-{uuid.uuid4().hex}")
+    write_archive(_table(spark, sf_dir, "pages"), archive)
+    return parsed(read_archive(spark, archive))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -84,6 +101,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_resampling": op11_resampling,
+    "op12_spelling": op12_spelling,
+    "op13_warc": op13_warc,
 }
 
 ORACLE = {
