@@ -3,9 +3,11 @@
 Exactness, confidence and proximity all fall as the amount gap grows, so the best
 deposit is simply the nearest amount among deposits on or after the pay date; equal gaps
 go to the earlier deposit. There is no horizon, which rules out a join on pairs: a
-pay date reaches every later deposit. Instead the future of a pay date is cut into whole
-days, months and years, and inside each a sweep over the sorted amounts finds the
-neighbours below and above. Deposits are repeated three times, whatever the history.
+pay date reaches every later deposit. Instead the instants of deposits are numbered in
+order and grouped into spans of 1, 32, 1024... numbers. What follows a pay instant is the
+rest of its span, the rest of the span above, and so on; inside each span a sweep over
+the sorted amounts finds the neighbours below and above. A deposit is repeated once for
+each level, whatever the length of the history and however fine its instants.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# amount slices per factor e; one slice of one year is the largest group a task sorts
+from ledgermill.operators.prefix import with_count_before
+
+# amount slices per factor e; one slice of one span is the largest group a task sorts
 SLICES_PER_E_FOLD = 1024
-DAY, MONTH, YEAR = 0, 1, 2
+SPAN_BITS = 5
 
 
 def _slice(value: str) -> Column:
@@ -24,27 +28,21 @@ def _slice(value: str) -> Column:
     )
 
 
-def _holding_periods(day: str) -> Column:
-    """The day, month and year a deposit belongs to."""
-    return F.expr(f"""array(
-        named_struct('level', {DAY}, 'node', datediff({day}, date'1970-01-01')),
-        named_struct('level', {MONTH}, 'node', year({day}) * 12 + month({day}) - 1),
-        named_struct('level', {YEAR}, 'node', year({day})))""")
-
+def _holding_spans(n: str, levels: int) -> Column:
+    """The span of every level that holds number ``n``."""
+    nodes = [f"named_struct('level', {level}, 'node', shiftright({n}, {SPAN_BITS * level}))" for level in range(levels)]
+    return F.expr(f"array({', '.join(nodes)})")
 
-def _future_periods(day: str, last: str) -> Column:
-    """Rest of the month by days, rest of the year by months, later years whole.
 
-    The pay day itself is left out: deposits of that day are compared by the full instant.
-    """
-    days = f"""transform(filter(sequence(0, 30), i -> date_add({day}, i + 1) <= last_day({day})),
-        i -> named_struct('level', {DAY}, 'node', datediff({day}, date'1970-01-01') + i + 1))"""
-    months = f"""transform(filter(sequence(1, 12), m -> m > month({day})),
-        m -> named_struct('level', {MONTH}, 'node', year({day}) * 12 + m - 1))"""
-    years = f"""if(year({last}) > year({day}),
-        transform(sequence(year({day}) + 1, greatest(year({last}), year({day}) + 1)),
-            y -> named_struct('level', {YEAR}, 'node', y)), array())"""
-    return F.expr(f"concat({days}, {months}, {years})")
+def _spans_from(n: str, levels: int) -> Column:
+    """Disjoint spans that cover all numbers from ``n`` on: those behind its own in each span above, and ``n`` itself."""
+    siblings = (1 << SPAN_BITS) - 1
+    parts = [f"array(named_struct('level', 0, 'node', {n}))"]
+    for level in range(levels):
+        own = f"shiftright({n}, {SPAN_BITS * level})"
+        parts.append(f"""transform(filter(sequence(1L, {siblings}L), i -> ({own} & {siblings}L) + i <= {siblings}L),
+            i -> named_struct('level', {level}, 'node', {own} + i))""")
+    return F.expr(f"concat({', '.join(parts)})")
 
 
 def nearest_later_deposit(totals: DataFrame, deposits: DataFrame) -> DataFrame:
@@ -59,15 +57,18 @@ def nearest_later_deposit(totals: DataFrame, deposits: DataFrame) -> DataFrame:
     points = deposits.withColumn("w", where).groupBy(
         "deposit_date", F.col("deposit_amount").alias("value")
     ).agg(F.min("w").alias("w"))
-    day = "to_date(deposit_date)"
-    held = points.withColumn("period", F.explode(_holding_periods(day))).select("period.*", "value", "w")
-    # inside a period the earliest deposit of an amount stands for all of them
+    instants, starts = with_count_before(
+        points, totals.select(F.col("pay_date").alias("deposit_date"), F.lit(0).alias("late")).distinct(), "deposit_date", "late", "n")
+    last = instants.agg(F.max("n")).first()[0] or 0
+    levels = max(1, -(-int(last).bit_length() // SPAN_BITS))
+    held = points.join(instants, "deposit_date").withColumn("span", F.explode(_holding_spans("n", levels))).select(
+        "span.*", "value", "w")
+    # inside a span the earliest deposit of an amount stands for all of them
     held = held.groupBy("level", "node", "value").agg(F.min("w").alias("w"))
-    last = deposits.agg(F.max("deposit_date").cast("date").cast("string")).first()[0] or "1970-01-01"
-    asked = totals.select("pay_date", F.col("payroll_total").alias("value"))
-    asked = asked.withColumn("period", F.explode(_future_periods("to_date(pay_date)", f"date'{last}'"))).select(
-        "period.*", "value", "pay_date"
-    )
+    asked = totals.select("pay_date", F.col("payroll_total").alias("value")).join(
+        starts.select(F.col("deposit_date").alias("pay_date"), "n"), "pay_date")
+    asked = asked.where(F.col("n") <= last).withColumn("span", F.explode(_spans_from("n", levels))).select(
+        "span.*", "value", "pay_date").where(F.expr(f"shiftleft(node, cast({SPAN_BITS} * level as int)) <= {last}L"))
     sweep = held.select("level", "node", "value", "w", F.lit(None).cast("timestamp_ntz").alias("pay_date")).unionByName(
         asked.withColumn("w", F.lit(None).cast(held.schema["w"].dataType))
     ).withColumn("slice", _slice("value"))
@@ -98,12 +99,8 @@ def nearest_later_deposit(totals: DataFrame, deposits: DataFrame) -> DataFrame:
         "pay_date", F.col("value").alias("total"),
         F.explode(F.array_compact(F.array("below", "above", "far_below", "far_above"))).alias("d"),
     )
-    # deposits of the pay day itself, at or after the pay instant
-    same_day = totals.select("pay_date", F.col("payroll_total").alias("total"), F.to_date("pay_date").alias("day")).join(
-        points.withColumn("day", F.to_date("deposit_date")), "day"
-    ).where(F.col("deposit_date") >= F.col("pay_date")).select("pay_date", "total", F.struct("value", "w").alias("d"))
     gap = F.abs(F.col("d.value") - F.col("total"))
-    best = options.unionByName(same_day).groupBy("pay_date").agg(
+    best = options.groupBy("pay_date").agg(
         F.min(F.struct(gap.alias("gap"), F.col("d.w").alias("w"), F.col("d.value").alias("value"))).alias("m")
     )
     return best.select(
