@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermill.llm.textbytes import BASES, Words, mix, text_slices, window_hashes
+from ledgermill.llm.textbytes import BASES, Words, mix, place, text_slices, window_hashes
 from ledgermill.session import materialize
 
 WINDOW_WORDS = 20
@@ -129,7 +129,8 @@ def merged_sketch(docs: DataFrame, size: int, slots: int) -> list[bytearray]:
 def removed_positions(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     """``(doc_id, at)``: window starts (word positions, from 0) whose words also start earlier.
 
-    Earlier means a smaller ``doc_id`` or a smaller position in the same document. The sketch
+    Earlier means a smaller ``doc_id`` or a smaller position in the same document; two rows alike are
+    one document, and the same start of both is not later than itself. No ``doc_id`` is null here. The sketch
     never undercounts, so every repeated window reaches the exact pass: windows go by the first
     hash to a task, where equal windows (96 hash bits) follow each other in document order and
     all but the first are kept. Within one input task later copies are found at once, so a window
@@ -150,8 +151,11 @@ def removed_positions(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
             held.clear()
             order = np.lexsort((low & np.uint64(0xFFFFFFFF), doc, low >> np.uint64(32), h1))
             h1, low, doc = h1[order], low[order], doc[order]
-            same = np.zeros(len(h1), bool)
-            same[1:] = (h1[1:] == h1[:-1]) & ((low[1:] >> np.uint64(32)) == (low[:-1] >> np.uint64(32)))
+            opens = np.ones(len(h1), bool)
+            opens[1:] = (h1[1:] != h1[:-1]) | ((low[1:] >> np.uint64(32)) != (low[:-1] >> np.uint64(32)))
+            head = np.maximum.accumulate(np.where(opens, np.arange(len(h1)), 0))
+            # a repeated row has the same place, which is not later
+            same = (doc != doc[head]) | (low != low[head])
             # a later copy is known here: it goes to any task; the first one stands for this task
             route = np.where(same, mix(h1 ^ low), h1)
             back = np.argsort(doc, kind="stable")
@@ -178,23 +182,25 @@ def removed_positions(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by window, document, position: all but the first of each window."""
-        before = None
+        before: tuple | None = None  # window and first place of the run that the last row was in
         for batch in batches:
             if not batch.num_rows:
                 continue
             h, low = batch.column("h").to_numpy(), batch.column("low").to_numpy().view(np.uint64)
-            known = batch.column("later").to_numpy(zero_copy_only=False)
+            doc, known = batch.column("doc_id").to_numpy(), batch.column("later").to_numpy(zero_copy_only=False)
             top = low >> np.uint64(32)
-            same = np.empty(len(h), bool)
-            same[1:] = (h[1:] == h[:-1]) & (top[1:] == top[:-1]) & (known[1:] == known[:-1])
-            same[0] = before == (h[0], top[0], known[0])
-            before = (h[-1], top[-1], known[-1])
-            same |= known
+            opens = np.ones(len(h), bool)
+            opens[1:] = (h[1:] != h[:-1]) | (top[1:] != top[:-1]) | (known[1:] != known[:-1])
+            head = np.maximum.accumulate(np.where(opens, np.arange(len(h)), 0))
+            first_doc, first_low = doc[head], low[head]
+            if before is not None and before[:3] == (h[0], top[0], known[0]):
+                first_doc[head == 0], first_low[head == 0] = before[3:]
+            before = (h[-1], top[-1], known[-1], first_doc[-1], first_low[-1])
+            same = known | (doc != first_doc) | (low != first_low)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(batch.column("doc_id").to_numpy()[same]),
-                 pa.array((low[same] & np.uint64(0xFFFFFFFF)).astype(np.int32))], ["doc_id", "at"])
+                [pa.array(doc[same]), pa.array((low[same] & np.uint64(0xFFFFFFFF)).astype(np.int32))], ["doc_id", "at"])
 
-    estimated = docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(
+    estimated = docs.select("doc_id", "text").mapInArrow(
         estimate, "h long, low long, doc_id long, later boolean")
     return estimated.repartition("h").sortWithinPartitions(
         "later", "h", F.shiftrightunsigned("low", 32), "doc_id", "low").mapInArrow(later, "doc_id long, at int")
@@ -213,12 +219,13 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
 
     Each word covered by a window of ``size`` words whose sequence also starts earlier goes;
     windows are judged on the input. Kept words are joined by one space. Words are runs without
-    ASCII white space, unchanged; a null text has none. Documents need distinct ``doc_id``; rows
-    with a null ``doc_id`` have no place in the order and keep all their words, and repeated rows
-    of one ``doc_id`` share one result. Columns besides ``doc_id`` and ``text`` are ignored. An
+    ASCII white space, unchanged; a null text has none. A ``doc_id`` names one text: rows that repeat
+    it with the same text are one document and share its result. Rows with a null ``doc_id`` come after
+    all others, in an order told by their texts. Columns besides ``doc_id`` and ``text`` are ignored. An
     empty table gives an empty table. One text is worked on as a whole in one task.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    given = "_given_id"
+    docs = docs.select(F.col("doc_id").cast("long").alias(given), place(F.col("doc_id"), F.col("text")).alias("doc_id"), "text")
     starts = removed_positions(docs, size).groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
     starts = materialize(starts, "window-starts")
 
@@ -239,7 +246,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
                 texts.append(kept.decode())
                 digests.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
+                [batch.column(given), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(texts, pa.string()), pa.array(digests, pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 

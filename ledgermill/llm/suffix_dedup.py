@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgermill.llm.textbytes import BASES, SpanHashes, mix, text_slices
+from ledgermill.llm.textbytes import BASES, SpanHashes, mix, place, text_slices
 from ledgermill.session import discard, materialize
 
 LENGTH = 400
@@ -365,12 +365,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     document, goes; matches stay inside documents and are judged on the input. ``kept`` is the
     remaining bytes (a cut may fall inside a character). A null text is empty. A repeated row counts
     as a further copy of its text; ``doc_id`` names one text, so two texts must not share one. Rows
-    with a null ``doc_id`` are left as they are and are not compared. Columns besides ``doc_id`` and
+    with a null ``doc_id`` are compared like all others. Columns besides ``doc_id`` and
     ``text`` are ignored; an empty table gives an empty table. One text is worked on as a whole in
     one task.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = repeated_ranges(docs.where("doc_id IS NOT NULL"), length).groupBy("doc_id").agg(
+    given = "_given_id"
+    docs = docs.select(F.col("doc_id").cast("long").alias(given), place(F.col("doc_id"), F.col("text")).alias("doc_id"), "text")
+    spans = repeated_ranges(docs.select("doc_id", "text"), length).groupBy("doc_id").agg(
         F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     spans = materialize(spans, "byte-ranges")
 
@@ -394,9 +395,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 for o, v in zip(out, (len(data), removed, runs, rest, hashlib.sha256(rest).hexdigest())):
                     o.append(v)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(
+                [batch.column(given), *(pa.array(v, t) for v, t in zip(
                     out, [pa.int64()] * 3 + [pa.binary(), pa.string()]))],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(cut, schema)
+    return docs.join(spans, "doc_id", "left").select(given, "text", "ranges").mapInArrow(cut, schema)

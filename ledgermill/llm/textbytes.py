@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 512 << 10
+NO_ID = 1 << 62  # above every doc_id
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 _SPACE = np.zeros(256, bool)
@@ -16,6 +19,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+# the lowest 0 to 8 bytes of a value
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -35,6 +40,12 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw, borders - borders[0]
 
 
+def place(doc_id: Column, text: Column) -> Column:
+    """The order of documents: ``doc_id``, and for null ids a number above them that tells the text."""
+    hashed = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2).bitwiseOR(F.lit(NO_ID))
+    return F.coalesce(doc_id.cast("long"), hashed)
+
+
 def text_slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row slices of a batch of about ``size`` bytes of column ``text``: ``(rows, bytes, borders)``."""
     raw, borders = text_bytes(batch.column("text"))
@@ -103,8 +114,22 @@ class Words:
         self.raw = raw
 
     def hashes(self, base: int = BASES[0]) -> np.ndarray:
-        lengths = (self.ends - self.starts).astype(np.uint64)
-        return mix(SpanHashes(self.raw.astype(np.uint64) + np.uint64(1), base).of(self.starts, self.ends) + lengths)
+        """One 64-bit value a word: eight bytes at a time are mixed with their place in the word and added up.
+
+        No sum of powers, for which long words of two letters in a certain order would be equal.
+        """
+        lengths = self.ends - self.starts
+        padded = np.concatenate([self.raw, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(self.raw) + 1,), "<u8", padded, strides=(1,))
+        total = lengths.astype(np.uint64) * np.uint64(base)
+        active, part = np.arange(len(lengths)), 0
+        while len(active):
+            left = np.minimum(lengths[active] - 8 * part, 8)
+            chunk = eight[self.starts[active] + 8 * part] & _BYTES[left]
+            total[active] += mix(chunk ^ np.uint64((base * (2 * part + 1)) & (1 << 64) - 1))
+            part += 1
+            active = active[lengths[active] > 8 * part]
+        return mix(total)
 
     def windows(self, size: int) -> np.ndarray:
         """Positions of the words that start a window of ``size`` words inside one row."""

@@ -143,12 +143,11 @@ def test_components_of_a_long_chain(spark):
 def bytes_by_hand(rows, length):
     seen: Counter = Counter()
     texts = [(t or "").encode() for _, t in rows]
-    for (doc, _), t in zip(rows, texts):
-        if doc is not None:
-            seen.update(t[i:i + length] for i in range(len(t) - length + 1))
+    for t in texts:
+        seen.update(t[i:i + length] for i in range(len(t) - length + 1))
     for (doc, _), t in zip(rows, texts):
         covered = bytearray(len(t))
-        for i in range(len(t) - length + 1 if doc is not None else 0):
+        for i in range(len(t) - length + 1):
             if seen[t[i:i + length]] > 1:
                 covered[i:i + length] = b"\1" * length
         spans = bytes(covered).count(b"\0\1") + covered.startswith(b"\1")
@@ -156,7 +155,8 @@ def bytes_by_hand(rows, length):
 
 
 def suffix_rows():
-    return [(d, t if t is None else t[:3000]) for d, t in awkward()] + [(30, prose(9, 200)), (31, "x" + prose(9, 200)[7:] + "y")]
+    return [(d, t if t is None else t[:3000]) for d, t in awkward()] + [
+        (30, prose(9, 200)), (31, "x" + prose(9, 200)[7:] + "y"), (32, prose(10, 150)), (32, prose(10, 150)), (None, prose(9, 200))]
 
 
 @pytest.mark.parametrize("segments", [B.KEY_SEGMENTS, 1])
@@ -183,18 +183,33 @@ def test_two_stage_suffix_sorting():
 # -- word windows ----------------------------------------------------------------------
 
 def words_by_hand(rows, size):
-    out, seen = [], set()
-    for doc, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+    """Rows in order of ``doc_id``, the one without it last; rows alike are one document."""
+    first, result = {}, {}
+    for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         words = (text or "").encode().split()
         covered = [False] * len(words)
         for i in range(len(words) - size + 1):
             window = tuple(words[i:i + size])
-            if window in seen:
+            if first.setdefault(window, (doc, i)) != (doc, i):
                 covered[i:i + size] = [True] * size
-            seen.add(window)
-        out.append((doc, len(words), sum(covered), sha(b" ".join(w for w, c in zip(words, covered) if not c))))
-    out += [(None, len((t or "").encode().split()), 0, sha(b" ".join((t or "").encode().split()))) for d, t in rows if d is None]
-    return out
+        result[doc, text] = (doc, len(words), sum(covered), sha(b" ".join(w for w, c in zip(words, covered) if not c)))
+    return [result[r] for r in rows]
+
+
+def two_letters(turns):
+    """A word of 2^turns letters and its complement; sums of powers modulo 2^64 cannot tell them apart."""
+    word = "a"
+    for _ in range(turns):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_sums_of_powers_confuse():
+    one, other = two_letters(12)
+    for base in (W.BASES[0], W.BASES[1]):
+        raw = np.frombuffer(f"{one} {other} {one} ab ba ab\0 ab".encode(), np.uint8)
+        h = W.Words(raw, np.array([0, len(raw)])).hashes(base).tolist()
+        assert h[0] == h[2] and len(set(h)) == 5 and h[3] == h[6]
 
 
 @pytest.mark.parametrize("slots", [W.MIN_SLOTS, 1])
@@ -202,7 +217,11 @@ def test_substring_dedup(spark, monkeypatch, slots):
     if slots == 1:  # a sketch too small for its windows lets everything through and loses nothing
         monkeypatch.setattr(W, "BLOCK_SLOTS", 1024)
         monkeypatch.setattr(W, "sketch_slots", lambda size: 1024)
-    rows = awkward()
+    one, other = two_letters(11)
+    rest = prose(31, 19)
+    rows = awkward() + [
+        (40, prose(30, 25)), (40, prose(30, 25)), (41, f"{one} {rest}"), (42, f"{other} {rest}"), (43, prose(5, 20)),
+        (44, "x y " * 40), (44, "x y " * 40), (45, prose(30, 25)[3:] + " " + prose(32, 30))]
     got = W.remove_repeats(documents(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert Counter(tuple(r) for r in got) == Counter(words_by_hand(rows, 20))
 

@@ -73,4 +73,4 @@ def test_run_is_a_registered_query():
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert [n for n in __spark_entry__.queries() if n.startswith("op")] == [
         "op1_line_dedup", "op2_packing", "op3_simhash", "op4_suffix_dedup", "op5_substring_dedup", "op6_decontamination",
-        "op7_html_text", "op8_toxicity", "op9_language_id", "op10_exact_dedup"]
+        "op7_html_text", "op8_toxicity", "op9_language_id", "op10_exact_dedup", "op11_resampling", "op12_spelling", "op13_warc"]
