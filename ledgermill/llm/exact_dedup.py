@@ -97,7 +97,7 @@ def without_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
     hashed = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
     order = Window.partitionBy(key, own).orderBy(F.xxhash64(*hashed))
     return (
-        rows.join(kept, [key, own]).withColumn(place, F.row_number().over(order))
+        rows.join(kept.hint("merge"), [key, own]).withColumn(place, F.row_number().over(order))
         .where(F.col(place) == 1).select(*docs.columns)
     )
 

@@ -232,4 +232,5 @@ def without_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS)
     found = near_duplicates(docs, shingle_words)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
     kept = materialize(kept, "kept-ids")
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+    # one plan at every size: the texts go to their verdicts once
+    return docs.join(kept.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
