@@ -132,15 +132,16 @@ def index_keys(word: str, frequent: dict[str, int]) -> list[str]:
     """The lists of the index that a word stands in.
 
     Of ``g`` grams at most ``a`` change, so a partner keeps one of any ``a + 1``; both take their
-    ``a + 1`` first ones in one order, rare grams first. A gram before the edit keeps its distance
-    from the start, one behind it that from the end. A word whose grams may all change also
-    stands under its halves: one of them is untouched.
+    ``a + 1`` first ones in one order, rare grams first. A kept gram before the edit has the same text
+    before it in both words, one behind it the same text after it, so a list is that of a gram with
+    all that stands on its outer side. A word whose grams may all change also stands under its
+    halves: one of them is untouched.
     """
     s = START + word + END
     spans = decompose(s, frequent)
     affected = most_affected(s, spans, frequent)
     ranked = sorted((frequent.get(s[p:e], 0), s[p:e], p, e) for p, e in spans)[:affected + 1]
-    keys = [f"s{p}:{gram}" for _, gram, p, _ in ranked] + [f"e{len(s) - e}:{gram}" for _, gram, _, e in ranked]
+    keys = [f"s{p}:{s[:e]}" for _, _, p, e in ranked] + [f"e{len(s) - e}:{s[p:]}" for _, _, p, e in ranked]
     if len(spans) <= affected:
         for half in {(len(word) - 1) // 2, len(word) // 2}:
             keys += [f"h{half}:{word[:half]}", f"t{half}:{word[-half:]}"]
