@@ -361,6 +361,15 @@ SHAPES = {1: "%Y-%m-%d", 2: "%m/%d/%Y", 3: "%d-%b-%Y", 4: "%Y/%m/%d", 5: "%b %-d
 EXPORT_LINES = f"""{ORDERS}, numbered as (select *, row_number() over (partition by o_orderstatus order by o_orderkey) as line from o)"""
 
 
+MONEY = "cast(cast(price as decimal(18,2)) as varchar)"
+RAW_TOTAL = f"""case when o_orderstatus = 'P' and rank = 5 then 'n/a' when o_orderstatus = 'F' then '$' || format('{{:,.2f}}', price)
+    else {MONEY} end"""
+# what the scans of the two written exports find
+SCANNED = """select 'Posted Date, Total, Memo, Ref' as columns, 'Posted Date' as date_header, 'Total' as amount_header, 'Memo' as description_header,
+    'Ref' as reference_header, count(*) as rows, count(*) filter (where o_orderstatus = 'P' and o_orderpriority[1] = '5') as rows_removed from orders
+  union all select 'Value-Date, Credit, Debit, Trace', 'Value-Date', 'Credit - Debit', null, 'Trace', count(*), 0 from orders"""
+
+
 def _schedule(select: str) -> str:
     return f"with {SCHEDULE} {select}"
 
@@ -404,6 +413,50 @@ select a.row_id as row_id_a, b.row_id as row_id_b from walk join ordered_a a usi
   confidence_score, severity, date_delta_days, present_in_c, priority_rank from result where exception_code <> 'matched'
   order by priority_rank desc, row_id_a nulls first, row_id_b nulls first limit 10""",
     "ref_similarity": """select o_orderkey, 2.0::double * (length('ORD-' || o_orderkey) - 1) / (2 * length('ORD-' || o_orderkey) - 1) as similarity from orders""",
+    "matched_ab": _whole(references=True) + "select * from result where exception_code = 'matched'",
+    "case_manifest": PLAIN + f"""select 'case' as case_id, '0.1.0' as engine_version, f.*, 'Date-window matching with amount/reference confidence scoring.' as matching_logic,
+  'Normalize headers; Detect date/amount/reference/description; Standardize to canonical fields' as steps, 'some amounts could not be read' as warnings,
+  'Systems are peer exports with independent timing.' as assumptions, 'complete' as status, cast(null as varchar) as error,
+  3 as date_window_days, 0.01::double as amount_tolerance, 0.1::double as partial_tolerance, m.columns, m.date_header, m.amount_header, m.rows, m.rows_removed, stats.*, true as has_outputs
+from (select parse_filename(filename) as filename, sha256(content) as sha256, size as file_size_bytes from read_blob('/root/testdata/sf0.01/orders.parquet')) f,
+  ({SCANNED}) m, (select {_CENTS.format('amount_a')} as total_system_a, {_CENTS.format('amount_b')} as total_system_b,
+    count(*) filter (where exception_code = 'matched') as matched_exact, count(*) filter (where exception_code = 'probable_match') as matched_fuzzy,
+    count(*) filter (where exception_code = 'missing_in_a') as unmatched_a, count(*) filter (where exception_code = 'missing_in_b') as unmatched_b,
+    count(*) filter (where exception_code <> 'matched') as exception_count from result) stats""",
+    "exports_read": f"""with {ORDERS} select {RAW_TOTAL} as "Total", o_orderstatus || chr(10) || 'says "ORD-' || o_orderkey || '", twice' as note,
+  'ORD-' || o_orderkey as "Ref", null as value_date, null as "Credit", null as "Debit", null as "Trace" from o
+union all select null, null, null, strftime(day, '%Y-%m-%d'), case when o_orderstatus <> 'F' then {MONEY} end,
+  case when o_orderstatus = 'F' then {MONEY} end, 'ORD-' || o_orderkey from o""",
+    "exports_loaded": f"""with {ORDERS} select day as txn_date, price as txn_amount, o_orderstatus || chr(10) || 'says "ORD-' || o_orderkey || '", twice' as description,
+  'ORD-' || o_orderkey as reference from o where not (o_orderstatus = 'P' and rank = 5)
+union all select day, case when o_orderstatus = 'F' then 0.0::double - price else price end, null, 'ORD-' || o_orderkey from o""",
+    "exports_set_aside": f"""with {ORDERS} select 'ORD-' || o_orderkey as reference, o_orderstatus || chr(10) || 'says "ORD-' || o_orderkey || '", twice' as description,
+  'n/a' as raw_amount, 'unparseable amount' as quarantine_reason from o where o_orderstatus = 'P' and rank = 5""",
+    "export_reports": f"""with {ORDERS} select 'a' as system, columns, date_header, amount_header, description_header, reference_header, rows, rows_removed
+  from ({SCANNED})""",
+    "data_quality": f"""with {ORDERS}, raw as (select *, 'export_' || o_orderstatus || '.csv' as source_file, 'ORD-' || o_orderkey as reference,
+    o_orderstatus = 'P' and rank = 1 as no_date, o_orderstatus = 'P' and rank = 2 as blank, o_orderstatus = 'P' and rank = 5 as no_amount from o)
+select case when blank then 'missing date' else 'unparseable date' end as issue, source_file, reference, {RAW_TOTAL} as raw_amount,
+  cast(null as bigint) as copies from raw where no_date or blank
+union all select 'unparseable amount', source_file, reference, 'n/a', null from raw where no_amount
+union all select 'duplicate record', source_file, reference, null, 2 from raw where o_orderstatus = 'F' and rank = 2""",
+    "run_metadata": """select 'run-1' as run_id, '2025-01-15T00:00:00Z' as run_timestamp_utc, '0.1.0' as engine_version,
+  parse_filename(filename) as filename, sha256(content) as sha256, 3 as date_window_days, 0.01::double as amount_tolerance
+  from read_blob('/root/testdata/sf0.01/orders.parquet')""",
+    "case_files": _schedule(f"""select {DAY} as pay_date, payroll_total, deposit_total, strftime(matched_deposit_date, '%Y-%m-%d') as matched_deposit_date,
+  days_to_deposit, match_status, late_flag, exception_type, severity from schedule"""),
+    "instant_counts": """with a as (select * from events where event_type = 'purchase'), b as (select * from events where event_type <> 'purchase'),
+p as (select a.event_id as x, b.event_id as y from a join b on b.ts between a.ts - interval 1 day and a.ts + interval 1 day
+  and abs(b.value - a.value) / greatest(abs(a.value), 1e-9::double) <= 0.1::double)
+select event_id, event_type, coalesce(n, 0) as candidate_count from events left join (
+  select x as event_id, count(*) as n from p group by x union all select y, count(*) from p group by y) using (event_id)""",
+    "instant_deposits": """with a as (select ts as pay_date, max(value) as total from events where event_type = 'purchase' group by ts),
+c as (select pay_date, arg_min(event_id, {'gap': abs(b.value - a.total), 'd': b.ts, 'l': length('E' || event_id), 'r': 'E' || event_id}) as event_id
+  from a join events b on b.ts >= a.pay_date and b.event_type <> 'purchase' group by pay_date)
+select pay_date, value as deposit_amount, ts as deposit_date, 'E' || event_id as deposit_row_id from c join events using (event_id)""",
+    # the added character leaves two equal halves; frequent characters only lengthen a block, from the beginning or around the rare one
+    "long_ref_similarity": """select o_orderkey, case o_orderkey % 3 when 0 then 256.0::double / 257 when 1 then 240.0::double / 481
+  else 410.0::double / 458 end as similarity from orders""",
     "business_days": f"""with {CALENDAR} select l_orderkey, l_linenumber, {_bdays('c1', 'c2')} as business_days, {_bdays('c1', 'c2')} > 3 as late
   from lineitem join orders on l_orderkey = o_orderkey join calendar c1 on c1.d = cast(o_orderdate as date) join calendar c2 on c2.d = cast(l_shipdate as date)""",
     "payroll_totals": f"with {PAYROLL}, {TOTALS} select pay_date, payroll_total, payroll_rows, payroll_source_files from totals",

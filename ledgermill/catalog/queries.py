@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable
 from pathlib import Path
 
@@ -10,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermill.functions.calendar import business_days_between
+from ledgermill.functions.scoring import micros
 from ledgermill.functions.similarity import reference_similarity
 from ledgermill.operators.assign import exclusive_match, unit_pairs
 from ledgermill.operators.classes import CLASS_KEY, class_rows, transaction_classes
 from ledgermill.operators.counts import candidate_counts
+from ledgermill.operators.deposits import nearest_later_deposit
 from ledgermill.operators.normalize import (
-    kept_and_excluded, normalize_deposits, normalize_payroll, normalize_postings, normalize_transactions,
+    kept_and_excluded, load_system, normalize_deposits, normalize_payroll, normalize_postings, normalize_transactions,
 )
+from ledgermill.operators.quality import quality_issues
 from ledgermill.operators.remittance import (
     component_ids, payroll_totals, remittance_schedule, required_deposit_dates, simple_schedule,
 )
@@ -27,7 +31,7 @@ from ledgermill.plans import reports as R
 from ledgermill.plans.reconcile import reconcile_transactions
 from ledgermill.session import checkpoint_root, materialize
 from ledgermill.sources import derived as D
-from ledgermill.sources.csv import ROW_NUMBER, with_row_numbers
+from ledgermill.sources.csv import ROW_NUMBER, list_exports, read_exports, with_row_numbers
 from ledgermill.sources.inventory import file_inventory
 
 AS_OF = "2025-01-15"
@@ -35,7 +39,7 @@ TOL = Tolerances()
 Query = Callable[[SparkSession, str], DataFrame]
 
 # results several queries start from, kept as stored tables per application and folder
-_STORED: dict[tuple, DataFrame] = {}
+_STORED: dict[tuple, DataFrame | str] = {}
 
 
 def forget_shared() -> None:
@@ -157,12 +161,142 @@ def _on_plain(report: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: report(reconcile_plain(spark, sf_dir))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _exports(spark: SparkSession, sf_dir: str) -> tuple[list[str], list[str]]:
+    """Paths of the ledger and of the bank's signed export, written as CSV parts."""
+    key = (spark.sparkContext.applicationId, str(Path(sf_dir)), "exports")
+    if key not in _STORED:
+        folder = _folder(spark, "exports")
+        ledger = D.written_ledger(spark, sf_dir)
+        signed = D.signed_export(spark, sf_dir).drop("source_file", "_row_number")
+        for name, df in (("a", ledger), ("b", signed)):
+            df.write.options(header=True, quote='"', escape='"').csv(f"{folder}/{name}")
+        _STORED[key] = folder
+    return list_exports(spark, f"{_STORED[key]}/a"), list_exports(spark, f"{_STORED[key]}/b")
+
+
+def exports_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both exports in one scan per header, a header renamed, memos of two lines."""
+    a, b = _exports(spark, sf_dir)
+    rows = read_exports(spark, a + b, {"Memo": "note"})
+    return rows.select("Total", "note", "Ref", F.col("Value-Date").alias("value_date"), "Credit", "Debit", "Trace")
+
+
+def _loaded(spark: SparkSession, sf_dir: str):
+    a, b = _exports(spark, sf_dir)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return load_system(spark, a + b)
+
+
+def exports_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir)[0].select("txn_date", "txn_amount", "description", "reference")
+
+
+def exports_set_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir)[2].select("reference", "description", "raw_amount", "quarantine_reason")
+
+
+def export_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = O.scan_facts(spark, {"a": _loaded(spark, sf_dir)[1]})
+    return facts.select(
+        "system", F.array_join("columns", ", ").alias("columns"), *[F.col("fields")[k].alias(f"{k}_header") for k in (
+            "date", "amount", "description", "reference")], "rows", "rows_removed")
+
+
+def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = normalize_transactions(D.flawed_export(spark, sf_dir), order_by=["Line", "Copy"], validate=False)
+    return quality_issues(found).select("issue", "source_file", "reference", "raw_amount", "copies")
+
+
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = O.run_metadata(file_inventory(spark, sf_dir, "orders.parquet"), "run-1", f"{AS_OF}T00:00:00Z")
+    return run.select("run_id", "run_timestamp_utc", "engine_version", F.explode("inputs").alias("i"), "parameters").select(
+        "run_id", "run_timestamp_utc", "engine_version", "i.filename", "i.sha256", "parameters.date_window_days",
+        "parameters.amount_tolerance")
+
+
+def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case from payroll and bank files to its written schedule, read back."""
+    folder = _folder(spark, "case")
+    payroll, bank = D.payroll_export(spark, sf_dir), D.bank_export(spark, sf_dir)
+    stamp = {"header": True, "quote": '"', "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+    payroll.drop("source_file", "_row_number").write.options(**stamp).csv(f"{folder}/inputs/payroll")
+    bank.drop("source_file", "_row_number").write.options(**stamp).csv(f"{folder}/inputs/trust")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        O.run_case(spark, folder, AS_OF)
+    written = spark.read.option("header", True).csv(f"{folder}/outputs/remittance_schedule.csv")
+    return written.select(
+        "pay_date", *[F.col(c).cast("double").alias(c) for c in ("payroll_total", "deposit_total")], "matched_deposit_date",
+        F.col("days_to_deposit").cast("int").alias("days_to_deposit"), "match_status", "late_flag", "exception_type", "severity")
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest's facts in columns; the number of output parts depends on the cluster and is left out."""
     result = reconcile_plain(spark, sf_dir)
-    folder = f"{checkpoint_root(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}"
+    folder = _folder(spark, "manifest")
     O.write_match_outputs(result, folder)
-    return O.case_manifest(
-        "case", file_inventory(spark, sf_dir, "orders.parquet"), file_inventory(spark, folder, "part-*"), R.run_stats(result))
+    row = O.case_manifest(
+        "case", file_inventory(spark, sf_dir, "orders.parquet"), file_inventory(spark, folder, "part-*"), R.run_stats(result),
+        reports={"a": _loaded(spark, sf_dir)[1]}, messages=["some amounts could not be read"])
+    row = materialize(row, "manifest")
+    mapping = F.explode("processing.detected_mappings").alias("m")
+    flat = row.select("case_id", "engine_version", F.col("input_files")[0].alias("f"), "processing", "results", mapping)
+    return flat.select(
+        "case_id", "engine_version", "f.filename", "f.sha256", "f.file_size_bytes", "processing.matching_logic",
+        F.array_join("processing.normalization_steps", "; ").alias("steps"), F.array_join("processing.warnings", "; ").alias("warnings"),
+        F.array_join("processing.assumptions", "; ").alias("assumptions"), "processing.status", "processing.error",
+        "processing.tolerances.date_window_days", "processing.tolerances.amount_tolerance", "processing.tolerances.partial_tolerance",
+        F.array_join("m.columns", ", ").alias("columns"), F.col("m.fields")["date"].alias("date_header"),
+        F.col("m.fields")["amount"].alias("amount_header"), "m.rows", "m.rows_removed", "results.total_system_a",
+        "results.total_system_b", "results.matched_exact", "results.matched_fuzzy", "results.unmatched_a", "results.unmatched_b",
+        "results.exception_count", (F.size("results.output_files") > 0).alias("has_outputs"))
+
+
+# -- instants below a day ---------------------------------------------------------------
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", F.col("value").alias("amt"))
+
+
+def instant_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every purchase the other events within a day and a tenth of its amount, and the reverse; instants as stored."""
+    events = _events(spark, sf_dir).withColumn("t", micros(F.col("ts")))
+    sides = events.where("event_type = 'purchase'"), events.where("event_type <> 'purchase'")
+    cells = [s.groupBy("t", "amt").agg(F.count(F.lit(1)).alias("copies")) for s in sides]
+    counted = candidate_counts(*cells, 1, 0.1)
+    rows = [s.join(c, ["t", "amt"], "left").select(
+        "event_id", "event_type", F.coalesce("candidate_count", F.lit(0).cast("long")).alias("candidate_count"))
+        for s, c in zip(sides, counted)]
+    return rows[0].unionByName(rows[1])
+
+
+def instant_deposits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every instant of a purchase the later event nearest in amount."""
+    events = _events(spark, sf_dir)
+    paid = events.where("event_type = 'purchase'").groupBy(F.col("ts").alias("pay_date")).agg(F.max("amt").alias("payroll_total"))
+    received = events.where("event_type <> 'purchase'").select(
+        F.col("ts").alias("deposit_date"), F.col("amt").alias("deposit_amount"), F.lit("events.csv").alias("source_file"),
+        F.concat(F.lit("E"), "event_id").alias("deposit_row_id"))
+    return nearest_later_deposit(paid, received)
+
+
+def similarity_of_long_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of 128 to 245 characters: an added character, and frequent characters around none or one rare block."""
+    key = F.col("o_orderkey").cast("string")
+    digests = F.sha2(key, 256), F.sha2(F.concat(F.lit("x"), key), 256)
+    digits, kind = F.lpad(key, 8, "0"), F.col("o_orderkey") % 3
+    many = lambda n: F.repeat(digits, n)
+    a = F.when(kind == 0, F.concat(digests[0], F.lit("Z"), digests[1])).when(
+        kind == 1, F.concat(many(15), F.lit("Z"), many(15))).otherwise(F.concat(many(15), F.lit("#QRST"), many(15)))
+    b = F.when(kind == 0, F.concat(*digests)).when(kind == 1, many(30)).otherwise(F.concat(many(10), F.lit("#QRST"), many(16)))
+    refs = D.table(spark, sf_dir, "orders").select("o_orderkey", a.alias("a"), b.alias("b"))
+    return refs.select("o_orderkey", reference_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
 # -- remittance ------------------------------------------------------------------------
@@ -262,8 +396,19 @@ QUERIES: dict[str, Query] = {
     "exception_summary": _on_plain(lambda r: R.exception_summary(r, include_matched=True)),
     "run_stats": _on_plain(R.run_stats),
     "top_exceptions": _on_plain(R.top_exceptions),
+    "matched_ab": lambda s, d: R.matched(reconcile_ab(s, d)),
     "case_manifest": manifest,
+    "exports_read": exports_read,
+    "exports_loaded": exports_loaded,
+    "exports_set_aside": exports_set_aside,
+    "export_reports": export_reports,
+    "data_quality": issues,
+    "run_metadata": metadata,
+    "case_files": case_files,
+    "instant_counts": instant_counts,
+    "instant_deposits": instant_deposits,
     "ref_similarity": similarity_of_references,
+    "long_ref_similarity": similarity_of_long_references,
     "business_days": lateness,
     "payroll_totals": totals,
     "component_ids": listed_components,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 from dataclasses import dataclass
 
@@ -59,6 +60,25 @@ def evidence_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return file_inventory(spark, folder, "part-*").select("filename", "sha256")
 
 
+SCANS = ("array<struct<system:string, columns:array<string>, fields:map<string,string>, files:array<string>, "
+         "rows:bigint, rows_removed:bigint>>")
+
+
+def _scans(reports: dict[str, list[Report]]) -> list[dict]:
+    """One entry for each header of each system: what was read, what it was taken for, what was set aside."""
+    return [
+        {"system": system, "columns": r.columns, "fields": {k: v for k, v in r.detected_fields.items() if v},
+         "files": sorted(f.rsplit("/", 1)[-1] for f in r.files), "rows": r.rows, "rows_removed": r.rows_removed}
+        for system, found in sorted(reports.items()) for r in sorted(found, key=lambda r: r.columns)
+    ]
+
+
+def scan_facts(spark: SparkSession, reports: dict[str, list[Report]]) -> DataFrame:
+    """The same as a table, one row per header: ``system, columns, fields, files, rows, rows_removed``."""
+    text = F.lit(json.dumps(_scans(reports)))
+    return spark.range(1).select(F.explode(F.from_json(text, SCANS)).alias("s")).select("s.*")
+
+
 def case_manifest(
     case_id: str,
     inputs: DataFrame,
@@ -70,10 +90,13 @@ def case_manifest(
     status: str = "complete",
     error: str | None = None,
     engine_commit: str | None = None,
+    reports: dict[str, list[Report]] | None = None,
+    messages: list[str] | None = None,
 ) -> DataFrame:
     """One nested row describing inputs, processing, results and how to repeat the run.
 
-    ``inputs`` and ``outputs`` are file inventories: their size is the number of files.
+    ``inputs`` and ``outputs`` are file inventories: their size is the number of files. ``reports`` of
+    :class:`FilesResult` give the detected headers and row counts of each system's scans, ``messages`` the warnings.
     The time of the run is left to the caller so that equal runs give equal manifests.
     """
     files = F.array_sort(F.collect_list(F.struct("filename", "sha256", "file_size_bytes")))
@@ -92,6 +115,8 @@ def case_manifest(
             F.struct(F.lit(date_window_days).alias("date_window_days"),
                      F.lit(amount_tolerance).alias("amount_tolerance"),
                      F.lit(partial_tolerance).alias("partial_tolerance")).alias("tolerances"),
+            F.from_json(F.lit(json.dumps(_scans(reports or {}))), SCANS).alias("detected_mappings"),
+            F.from_json(F.lit(json.dumps(messages or [])), "array<string>").alias("warnings"),
             F.lit(ASSUMPTIONS).alias("assumptions"), F.lit(status).alias("status"),
             F.lit(error).cast("string").alias("error"),
         ).alias("processing"),
@@ -125,7 +150,7 @@ def reconcile_exports(
 ) -> FilesResult:
     """Scan, standardize and match groups of exports; A and B are required."""
     if not system_a_files or not system_b_files:
-        raise ValueError("System A and System B files are required.")
+        raise ValueError("a match needs exports of both sides, A and B")
     given = {"a": system_a_files, "b": system_b_files, "c": system_c_files}
     loaded = {name: load_system(spark, files) for name, files in given.items() if files}
     rows = {name: found[0] for name, found in loaded.items()}

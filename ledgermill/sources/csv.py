@@ -12,35 +12,39 @@ from pyspark.sql import functions as F
 
 from ledgermill.operators.prefix import with_dense_index
 from ledgermill.session import materialize
+from ledgermill.sources.records import PATH, ROW_NUMBER, open_borders, read_records
 
-# engine-side columns: full path (file names can repeat), position in the file
-PATH, ROW_NUMBER = "_path", "_row_number"
 HEADER_BYTES = 1 << 14
 FILE_KINDS = ("payroll", "trust", "transactions")
 
 
-def read_export(
-    spark: SparkSession, path: str | list[str], column_mapping: dict[str, str] | None = None, multi_line: bool = False
-) -> DataFrame:
+def read_export(spark: SparkSession, path: str | list[str], column_mapping: dict[str, str] | None = None) -> DataFrame:
     """One export (file, folder or glob of files with one header) with ``source_file`` and row numbers.
 
-    ``column_mapping`` renames headers; absent ones are warned about. ``multi_line``
-    accepts line breaks inside quotes at the price of one task per file.
+    ``column_mapping`` renames headers; absent ones are warned about. A quote inside a quoted field is
+    written twice. Files without line breaks inside quotes are read by Spark's own reader; the others by
+    :mod:`ledgermill.sources.records`. Both work on splits of a file.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line).csv(path)
-    tagged = raw.select(
-        "*",
-        F.col("_metadata.file_name").alias("source_file"),
-        F.col("_metadata.file_path").alias(PATH),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_scan"),
-    )
-    df = _numbered(materialize(tagged, "scan"))
+    paths = [path] if isinstance(path, str) else path
+    borders = open_borders(spark, paths)
+    if borders is None:
+        raw = spark.read.options(header=True, inferSchema=False, quote='"', escape='"').csv(paths)
+        tagged = raw.select(
+            "*",
+            F.col("_metadata.file_name").alias("source_file"),
+            F.col("_metadata.file_path").alias(PATH),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_scan"),
+        )
+        df, names = _numbered(materialize(tagged, "scan")), raw.columns
+    else:
+        df = read_records(spark, paths, borders)
+        names = df.columns
     for source, target in (column_mapping or {}).items():
-        if source in raw.columns:
+        if source in names:
             df = df.withColumnRenamed(source, target)
         else:
-            warnings.warn(f"Column '{source}' not found in file. Expected for mapping to '{target}'")
+            warnings.warn(f"No header reads '{source}', so nothing becomes '{target}'")
     return df
 
 
@@ -86,14 +90,13 @@ def read_exports(
     paths: list[str],
     column_mapping: dict[str, str] | None = None,
     file_type: str = "transactions",
-    multi_line: bool = False,
 ) -> DataFrame:
     """Union of several exports, one scan per header; missing columns become null."""
     if file_type not in FILE_KINDS:
-        raise ValueError(f"Unknown file_type: {file_type}")
+        raise ValueError(f"file_type is '{file_type}', known are {', '.join(FILE_KINDS)}")
     if not paths:
         return spark.createDataFrame([], "source_file string")
-    frames = [read_export(spark, group, column_mapping, multi_line) for group in group_by_header(spark, paths).values()]
+    frames = [read_export(spark, group, column_mapping) for group in group_by_header(spark, paths).values()]
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
@@ -108,7 +111,7 @@ def list_exports(spark: SparkSession, folder: str) -> list[str]:
     found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/*.csv"))
     paths = sorted(s.getPath().toString() for s in found or [])
     if not paths:
-        warnings.warn(f"No CSV files found in: {folder}")
+        warnings.warn(f"{folder} holds no *.csv file")
     return paths
 
 

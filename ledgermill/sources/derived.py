@@ -105,6 +105,23 @@ def ledger_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def flawed_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with dates that are absent or no dates, and filled high-priority orders twice."""
+    export, o = ledger_export(spark, sf_dir), _orders(spark, sf_dir)
+    status, rank = F.col("o_orderstatus"), F.col("rank")
+    fault = F.when((status == "P") & (rank == 1), F.lit("never")).when((status == "P") & (rank == 2), F.lit(""))
+    faults = o.select(F.col("o_orderkey").alias("Line"), fault.alias("fault"), ((status == "F") & (rank == 2)).alias("twice"))
+    export = export.join(faults, "Line").withColumn("Posted Date", F.coalesce("fault", "Posted Date"))
+    times = F.when(F.col("twice"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return export.withColumn("Copy", F.explode(times)).drop("fault", "twice")
+
+
+def written_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's columns as a file holds them, with a memo of two lines, quotes and a comma."""
+    memo = F.concat("Memo", F.lit('\nsays "'), F.col("Ref"), F.lit('", twice'))
+    return ledger_export(spark, sf_dir).select("Posted Date", "Total", memo.alias("Memo"), "Ref")
+
+
 def signed_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger as a bank would print it: filled orders as debits, the rest as credits."""
     o = _orders(spark, sf_dir)

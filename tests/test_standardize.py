@@ -1,6 +1,10 @@
+import csv
 import datetime as dt
+import io
+import random
 import warnings
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,11 +14,13 @@ from ledgermill.operators.normalize import (
     apply_column_aliases, best_parseable_column, flag_deposits, load_system, normalize_deposits, normalize_payroll,
     normalize_transactions,
 )
-from ledgermill.plans.outputs import reconcile_exports, reconcile_files, run_case, write_match_outputs, evidence_manifest, run_metadata, case_manifest
+from ledgermill.plans.outputs import reconcile_exports, reconcile_files, run_case, write_match_outputs, evidence_manifest, run_metadata, case_manifest, scan_facts
+from ledgermill.operators.quality import quality_issues
 from ledgermill.plans.reports import run_stats
 from ledgermill.sources.csv import read_export, read_exports
 from ledgermill.sources.headers import TRANSACTION_ALIASES, resolve_transaction_headers
 from ledgermill.sources.inventory import file_inventory
+from ledgermill.sources.records import ends_inside
 
 
 def one(spark, column, values, kind="string"):
@@ -163,6 +169,76 @@ def test_csv_scan_numbers_rows_across_splits(spark, tmp_path):
     assert {r.source_file for r in rows} == {"a.csv"}
 
 
+def quoted_file(seed, rows, end="\n"):
+    """Fields with line breaks, quotes, commas and blanks, as a spreadsheet writes them."""
+    r = random.Random(seed)
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator=end)
+    writer.writerow(["id", "Date", "Amount", "Memo", "Ref"])
+    for i in range(rows):
+        memo = "".join(r.choice(["a", 'b"', ",", "\n", " ", '"', "x\n\n", "é", "12 pipe"]) for _ in range(r.randrange(9)))
+        if r.random() < 0.02:
+            memo = "long\n" * 200
+        writer.writerow([f"T{i}", "2025-01-01", i, memo.strip(), r.choice(["", 'say ""', "r"])])
+        if r.random() < 0.1:
+            out.write(end)
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("end,split", [("\n", 60), ("\n", 700), ("\r\n", 200)])
+def test_line_breaks_in_quotes_across_splits(spark, tmp_path, end, split):
+    """Every file is read as the reference's reader reads it, however the splits fall, with positions in the file."""
+    want = {}
+    for seed in (1, 2, 3):
+        text = quoted_file(seed, 60, end) + f'T60,2025-01-02,1,12" pipe,"open, not{end} closed"{end}'
+        (tmp_path / f"q{seed}.csv").write_text(text, newline="")
+        frame = pd.read_csv(io.StringIO(text, newline=""), dtype=str, keep_default_na=False)
+        for n, row in enumerate(frame.itertuples(index=False), 1):
+            want[f"q{seed}.csv", n] = tuple(v.replace("\r\n", "\n") or None for v in row)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        paths = [str(tmp_path / f"q{seed}.csv") for seed in (1, 2, 3)]
+        rows = read_export(spark, paths).select("id", "Date", "Amount", "Memo", "Ref", "source_file", "_row_number").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {(r.source_file, r._row_number): tuple(v and v.replace("\r\n", "\n") for v in r[:5]) for r in rows}
+    assert len(rows) == len(got) and got == want
+
+
+def test_where_a_line_ends():
+    cases = {
+        "a,b": (False, False), '"a': (True, True), 'a"b,c': (False, False), '"a""': (True, True), '"a""b",c': (False, True),
+        '': (False, True), 'x",y': (False, False), ',"': (True, True), '"a",b "c,"d': (True, True), '""': (False, True)}
+    for line, (outside, inside) in cases.items():
+        assert ends_inside(line, False) == outside, line
+    assert ends_inside('b",c', True) is False and ends_inside('b"",c', True) is True and ends_inside('b"x"y', True) is False
+
+
+def test_broken_lines_go_through_the_match(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Date,Amount,Memo,Ref\n2025-01-01,10,"two\nlines",R1\n2025-01-02,20,one,R2\n')
+    (tmp_path / "b.csv").write_text("Date,Amount,Memo,Ref\n2025-01-01,10,x,R1\n")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        found = reconcile_exports(spark, [str(tmp_path / "a.csv")], [str(tmp_path / "b.csv")])
+    rows = {r.row_id_a: r for r in found.result.collect()}
+    assert rows["a.csv:TXN00001"].description_a == "two\nlines" and rows["a.csv:TXN00001"].exception_code == "matched"
+    assert rows["a.csv:TXN00002"].exception_code == "missing_in_b" and found.quarantine["a"].isEmpty()
+    facts = scan_facts(spark, found.reports).collect()
+    assert [(r.system, r.rows, r.rows_removed, r.fields["date"], r.files) for r in facts] == [
+        ("a", 2, 0, "Date", ["a.csv"]), ("b", 1, 0, "Date", ["b.csv"])]
+
+
+def test_quality_issues(spark):
+    rows = [("2025-01-01", "1", "m", "R"), ("2025-01-01", "1", "m", "R"), ("2025-01-01", "1", "m", "S"), ("never", "x", "m", "T"), ("", None, "m", "U")]
+    df = spark.createDataFrame([(*r, "f.csv") for r in rows], "date string, amount string, memo string, ref string, source_file string")
+    found = quality_issues(normalize_transactions(df, order_by=["ref"], validate=False)).collect()
+    assert sorted((r.issue, r.reference, r.copies or 0) for r in found) == [
+        ("duplicate record", "R", 2), ("missing amount", "U", 0), ("missing date", "U", 0), ("unparseable amount", "T", 0),
+        ("unparseable date", "T", 0)]
+
+
 def test_files_with_different_headers(spark, tmp_path):
     (tmp_path / "a1.csv").write_text("Date,Amount,Ref\n2025-01-01,10,R1\n2025-01-02,20,R2\n")
     (tmp_path / "a2.csv").write_text("Date,Amount,Ref\n2025-01-03,30,R3\n")
@@ -182,7 +258,7 @@ def test_files_with_different_headers(spark, tmp_path):
     with pytest.raises(ValueError):
         reconcile_files(spark, [], ["x"])
     assert read_exports(spark, []).count() == 0
-    with pytest.raises(ValueError, match="Unknown file_type"):
+    with pytest.raises(ValueError, match="file_type is"):
         read_exports(spark, ["x"], file_type="other")
 
 
@@ -248,7 +324,7 @@ def test_case_folder(spark, tmp_path):
 
 
 def test_required_columns(spark):
-    with pytest.raises(ValueError, match="Required column 'employee_id'"):
+    with pytest.raises(ValueError, match="no header gives 'employee_id'"):
         normalize_payroll(spark.createDataFrame([("2025-01-01", "1", "f")], "pay_date string, deferral string, source_file string"))
-    with pytest.raises(ValueError, match="Required column 'deposit_id'"):
+    with pytest.raises(ValueError, match="no header gives 'deposit_id'"):
         normalize_deposits(spark.createDataFrame([("2025-01-01", "1", "f")], "post_date string, amount string, source_file string"))
