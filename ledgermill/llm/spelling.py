@@ -1,9 +1,9 @@
 """Spelling variants: a variable-length gram index finds words one edit apart, frequent ones name the form.
 
-A gram grows from ``Q_MIN`` code points until it is rare in the vocabulary or ``Q_MAX`` long, so long lists
-of frequent short grams do not exist. A word is the set of its grams that no earlier gram covers. One edit
-changes at most a number of these grams that is known for each word, which tells how many lists of the
-index have to be merged so that no partner is lost.
+A gram grows from ``Q_MIN`` code points until it is rare in the vocabulary or ``Q_MAX`` long. A word is the
+sequence of its grams that no earlier gram covers. One edit changes at most a number of these grams that is
+known for each word; so it is known how many grams a partner must share, and only words that share so many
+are compared.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.session import discard, materialize
@@ -23,7 +24,9 @@ MIN_LENGTH = 7
 MIN_COUNT = 2
 SLIP = 31  # one occurrence in so many loses a code point
 RATIO = 10
-Q_MIN, Q_MAX = 3, 6
+Q_MIN, Q_MAX = 3, 4
+# Numbers of shared grams that lists are made for; a word is found with the largest one its bound allows.
+SHARED = (3, 5, 7, 10, 15, 22, 32, 48, 64)
 # A gram that more positions than this share is extended, and the grams that do are sent to every task. The
 # limit grows with the vocabulary so that there are at most this many of them.
 LEAST_FREQUENT = 64
@@ -128,26 +131,37 @@ def most_affected(s: str, spans: list[tuple[int, int]], frequent: dict[str, int]
     return max(hit[first:])
 
 
-def index_keys(word: str, frequent: dict[str, int]) -> list[str]:
-    """The lists of the index that a word stands in.
+def index_keys(word: str, frequent: dict[str, int]) -> list[tuple[str, bool]]:
+    """The lists of the index that a word stands in, and whether partners are looked for in them.
 
-    Of ``g`` grams at most ``a`` change, so a partner keeps one of any ``a + 1``; both take their
-    ``a + 1`` first ones in one order, rare grams first. A kept gram before the edit has the same text
-    before it in both words, one behind it the same text after it, so a list is that of a gram with
-    all that stands on its outer side. A word whose grams may all change also stands under its
-    halves: one of them is untouched.
+    Of ``g`` grams at most ``a`` change. Those before the edit are the first ones in both words with the same
+    text before them, those behind it the last ones with the same text after them. So two words one edit
+    apart share, for any number up to the larger ``g - a``, the first ``b`` and the last ``number - b`` grams for
+    some ``b``: a merge of lists with that threshold is one list for each ``b``. Words meet in the lists of
+    the smaller of their two numbers. A word whose grams may almost all change has none, see :func:`half_keys`.
     """
     s = START + word + END
     spans = decompose(s, frequent)
-    affected = most_affected(s, spans, frequent)
-    ranked = sorted((frequent.get(s[p:e], 0), s[p:e], p, e) for p, e in spans)[:affected + 1]
-    keys = [f"s{p}:{s[:e]}" for _, _, p, e in ranked] + [f"e{len(s) - e}:{s[p:]}" for _, _, p, e in ranked]
-    if len(spans) <= affected:
-        for half in {(len(word) - 1) // 2, len(word) // 2}:
-            keys += [f"h{half}:{word[:half]}", f"t{half}:{word[-half:]}"]
+    shared = len(spans) - most_affected(s, spans, frequent)
+    numbers = [n for n in SHARED if n <= shared]
+    keys = []
+    for n in numbers:
+        for b in range(n + 1):
+            before = s[:spans[b - 1][1]] if b else ""
+            behind = s[spans[b - n][0]:] if b < n else ""
+            keys.append((f"{n}:{b}:{before}\x03{behind}", n == numbers[-1]))
     return keys
 
 
+def half_keys(word: Column) -> Column:
+    """Lists by halves of a word: one half is untouched by an edit. The lengths of two words may differ by one."""
+    size = F.length(word)
+    short, long = F.floor((size - 1) / 2).cast("int"), F.floor(size / 2).cast("int")
+    keys = [F.concat(F.lit(f"{side}:"), half.cast("string"), F.lit(":"), part(half)) for half in (short, long) for side, part in (
+        ("h", lambda n: F.substring(word, F.lit(1), n)), ("t", lambda n: F.substring(word, -n, n)))]
+    return F.array_distinct(F.array(*keys))
+
+
 def near_words(vocab: DataFrame, frequent: dict[str, int]) -> DataFrame:
     """``(word, n, near, near_n)`` for every two words one edit apart, in both directions, each once."""
     grams = vocab.sparkSession.sparkContext.broadcast(frequent)
@@ -157,19 +171,30 @@ def near_words(vocab: DataFrame, frequent: dict[str, int]) -> DataFrame:
         for batch in batches:
             words, counts = batch.column("word").to_pylist(), batch.column("n").to_pylist()
             for at in range(0, len(words), 2000):
-                rows = [(k, w, n) for w, n in zip(words[at:at + 2000], counts[at:at + 2000]) for k in index_keys(w, known)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
-                    pa.array([r[2] for r in rows], pa.int64())], ["key", "word", "n"])
-
-    keys = vocab.select("word", "n").mapInArrow(run, "key string, word string, n long")
-    keys = materialize(keys.select(F.xxhash64("key").alias("key"), "word", "n"), "gram-lists")
-    left, right = keys, keys.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    met = left.join(right, "key").where(
-        (F.col("word") < F.col("near")) & (F.abs(F.length("word") - F.length("near")) <= 1)
-        & (F.levenshtein("word", "near", 1) == 1))
-    pairs = materialize(met.select("word", "n", "near", "near_n").distinct(), "near-words")
-    discard(keys)
+                rows = []
+                for w, n in zip(words[at:at + 2000], counts[at:at + 2000]):
+                    keys = index_keys(w, known)
+                    rows += [(xxhash.xxh64_intdigest(k.encode()) - (1 << 63), own, w, n) for k, own in keys]
+                    if not keys:
+                        rows.append((None, True, w, n))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.string(), pa.int64()))],
+                    ["key", "own", "word", "n"])
+
+    lists = materialize(vocab.select("word", "n").mapInArrow(run, "key long, own boolean, word string, n long"), "gram-lists")
+    other = lists.where("key IS NOT NULL").select("key", F.col("own").alias("both"), F.col("word").alias("near"), F.col("n").alias("near_n"))
+    once = F.col("word").eqNullSafe(F.col("near")) | (F.col("both") & (F.col("word") > F.col("near")))
+    met = lists.where("own AND key IS NOT NULL").drop("own").join(other, "key").where(~once).drop("both")
+    # few words, if any, have no list; they look at all words by halves
+    bare = materialize(lists.where("key IS NULL").select("word", "n"), "bare-words")
+    halves = bare.withColumn("key", F.explode(half_keys(F.col("word")))).join(
+        vocab.select(F.col("word").alias("near"), F.col("n").alias("near_n"), F.explode(half_keys(F.col("word"))).alias("key")), "key")
+    found = met.unionByName(halves).where(F.levenshtein("word", "near", 1) == 1)
+    ordered = found.select(F.least("word", "near").alias("word"), F.greatest("word", "near").alias("near"),
+                           F.when(F.col("word") < F.col("near"), F.col("n")).otherwise(F.col("near_n")).alias("n"),
+                           F.when(F.col("word") < F.col("near"), F.col("near_n")).otherwise(F.col("n")).alias("near_n"))
+    pairs = materialize(ordered.distinct(), "near-words")
+    discard(lists)
     return pairs.unionByName(pairs.select(
         F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
 

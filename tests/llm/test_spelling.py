@@ -84,7 +84,19 @@ def test_empty_table(spark):
     assert S.group_variants(documents(spark, [])).collect() == []
 
 
-def test_words_one_edit_apart_share_a_key():
+def halves(word):
+    return {(side, n, part) for n in {(len(word) - 1) // 2, len(word) // 2} for side, part in (("h", word[:n]), ("t", word[-n:]))}
+
+
+def meet(word, other, frequent):
+    """One of the two looks in a list that the other stands in, or has no list and looks by halves."""
+    one, two = S.index_keys(word, frequent), S.index_keys(other, frequent)
+    if not one or not two:
+        return bool(halves(word) & halves(other))
+    return bool({k for k, own in one if own} & {k for k, _ in two} or {k for k, own in two if own} & {k for k, _ in one})
+
+
+def test_words_one_edit_apart_meet():
     """With few and with many frequent grams, on alphabets where almost all grams repeat."""
     chosen = random.Random(5)
     for letters in ("ab", "abcd", "abcdefghijklmnopqrstuvwxyz"):
@@ -96,11 +108,16 @@ def test_words_one_edit_apart_share_a_key():
         for limit in (0, 2, 8, 40, 10 ** 9):
             frequent = {g: n for g, n in counts.items() if n > limit}
             for word in words[:150]:
-                keys = set(S.index_keys(word, frequent))
                 for _ in range(8):
                     other = edited(chosen, word, letters)
                     if other != word and len(other) >= 7:
-                        assert keys & set(S.index_keys(other, frequent)), (word, other, limit)
+                        assert meet(word, other, frequent), (word, other, limit)
+
+
+def test_words_without_lists_look_by_halves(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARED", (9, 12))
+    rows = variant_texts(4, "abcdeé", 30)
+    assert {tuple(r) for r in S.group_variants(documents(spark, rows)).collect()} == stated(rows)
 
 
 def test_bound_holds_for_every_edit():
