@@ -105,13 +105,10 @@ def _batched_ratios(left: list[str], right: list[str]) -> np.ndarray:
     return 2.0 * matched / (n_left + n_right)
 
 
-def _matching_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    out = np.full(len(left), np.nan)
-    wanted = np.flatnonzero(left.notna().to_numpy())
-    if not len(wanted):
-        return pd.Series(out)
-    a, b = left.to_numpy()[wanted], right.to_numpy()[wanted]
-    longest = np.maximum(left.str.len().to_numpy()[wanted], right.str.len().to_numpy()[wanted]).astype(np.int64)
+def matching_ratios(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matching-blocks ratios of pairs of texts."""
+    out = np.zeros(len(a))
+    longest = np.fromiter((max(len(p), len(q)) for p, q in zip(a, b)), np.int64, len(a))
     # lots of pairs of similar length, so that a long text does not widen the table of short ones
     order = np.argsort(longest, kind="stable")
     batched = int(np.searchsorted(longest[order], LONGEST, "right"))
@@ -120,10 +117,17 @@ def _matching_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
         width = max(16, 2 * int(longest[order[at]]))
         to = min(batched, int(np.searchsorted(longest[order], width, "right")), at + max(1, CELLS // width))
         lot = order[at:to]
-        out[wanted[lot]] = _batched_ratios(a[lot].tolist(), b[lot].tolist())
+        out[lot] = _batched_ratios(a[lot].tolist(), b[lot].tolist())
         at = to
     for i in order[batched:]:
-        out[wanted[i]] = SequenceMatcher(None, a[i], b[i]).ratio()
+        out[i] = SequenceMatcher(None, a[i], b[i]).ratio()
+    return out
+
+
+def _matching_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    out = np.full(len(left), np.nan)
+    wanted = np.flatnonzero(left.notna().to_numpy())
+    out[wanted] = matching_ratios(left.to_numpy()[wanted], right.to_numpy()[wanted])
     return pd.Series(out)
 
 
