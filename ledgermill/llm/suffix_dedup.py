@@ -22,12 +22,15 @@ SORT_BYTES = 512 << 10
 
 # -- suffix sorting --------------------------------------------------------------------
 
-def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(symbols: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Two-stage suffix sorting of ``symbols`` (uint8, 0 ends a text), in order up to ``depth`` symbols.
 
     First stage: only suffixes smaller than their successor are sorted directly. Second stage: all
     others are induced. Buckets of first symbols are scanned from the smallest; the suffix one
     place before a scanned one, if it starts with a larger or the same symbol, is next in its bucket.
+
+    With ``wanted``, a mask, only these suffixes are put in order, and those that they are induced from: the
+    ones up to the first directly sorted suffix behind each run of wanted places.
     """
     n = len(symbols)
     if n == 0:
@@ -38,7 +41,17 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     rises = np.append(symbols[change[:-1] + 1] > symbols[change[:-1]], False)
     smaller = np.repeat(rises, np.diff(np.concatenate([[-1], change])))
     smaller[symbols == 0] = True  # text ends are placed directly and never induced
-    direct = np.flatnonzero(smaller & (symbols > 0)).tolist()
+    needed = np.ones(n, bool)
+    if wanted is not None:
+        sorted_places = np.flatnonzero(smaller)
+        run_ends = np.flatnonzero(wanted & ~np.append(wanted[1:], False)) + 1
+        run_ends = run_ends[run_ends < n]
+        reached = sorted_places[np.minimum(np.searchsorted(sorted_places, run_ends), len(sorted_places) - 1)]
+        steps = np.zeros(n + 1, np.int64)
+        np.add.at(steps, run_ends, 1)
+        np.add.at(steps, np.maximum(reached + 1, run_ends), -1)
+        needed = wanted | (np.cumsum(steps)[:n] > 0)
+    direct = np.flatnonzero(smaller & (symbols > 0) & needed).tolist()
     direct.sort(key=lambda i: text[i:i + depth])
     direct = np.array(direct, np.int64)
     heads = symbols[direct]
@@ -48,7 +61,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     def induce(found: np.ndarray, into_same: bool) -> np.ndarray:
         """Send on the predecessors that are induced; those of the same symbol are returned."""
         before = found[found > 0] - 1
-        before = before[~smaller[before]]
+        before = before[~smaller[before] & needed[before]]
         first = symbols[before]
         here = symbols[found[0]] if len(found) else 0
         own = before[first == here] if into_same else before[:0]
@@ -63,7 +76,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
 
     for c in range(256):
         if c == 0:
-            own = np.flatnonzero(symbols == 0)
+            own = np.flatnonzero((symbols == 0) & needed)
             if len(own):
                 out.append(own)
                 induce(own, False)
@@ -76,7 +89,8 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         if len(own):
             out.append(own)
             induce(own, False)
-    return np.concatenate(out)
+    order = np.concatenate(out) if out else np.zeros(0, np.int64)
+    return order if wanted is None else order[wanted[order]]
 
 
 def common_prefixes(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, limit: int) -> np.ndarray:
@@ -110,8 +124,7 @@ def repeated_starts(segments: list[bytes], valid: list[tuple[int, int]], weights
     is_start = np.zeros(len(joined), bool)
     for b, (lo, hi) in zip(begin.tolist(), valid):
         is_start[b + lo:b + hi] = True
-    order = suffix_array(joined, length)
-    order = order[is_start[order]]
+    order = suffix_array(joined, length, is_start)
     hit = np.zeros(len(joined), bool)
     if len(order) > 1:
         shared = common_prefixes(joined, order[:-1], order[1:], length) >= length

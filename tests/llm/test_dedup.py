@@ -175,6 +175,10 @@ def test_two_stage_suffix_sorting():
         text, order = joined.tobytes(), B.suffix_array(joined, 12).tolist()
         cut = [text[i:text.index(b"\0", i) + 1][:12] for i in order]
         assert sorted(order) == list(range(len(text))) and cut == sorted(cut)
+        wanted = random.random(len(text)) < 0.3
+        some = B.suffix_array(joined, 12, wanted).tolist()
+        cut = [text[i:text.index(b"\0", i) + 1][:12] for i in some]
+        assert sorted(some) == np.flatnonzero(wanted).tolist() and cut == sorted(cut)
         left, right = np.array(order[:-1]), np.array(order[1:])
         want = [next((k for k in range(9) if k == 9 or text[a + k:a + k + 1] != text[b + k:b + k + 1]), 9) for a, b in zip(order, order[1:])]
         assert np.minimum(B.common_prefixes(joined, left, right, 9), 9).tolist() == want
