@@ -75,23 +75,26 @@ def _carried_parts(spark, sums: DataFrame) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join(lines or ['(0, 0L)'])} AS s(_part, _carried)")
 
 
+def with_running_sum(df: DataFrame, order_by: list[str | Column], value: str, name: str) -> DataFrame:
+    """Inclusive running sum of ``value`` over all rows in ``order_by`` order, by one range shuffle."""
+    ordered = materialize(
+        df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK))), "in-order")
+    carried = _carried_parts(df.sparkSession, ordered.groupBy("_part").agg(F.sum(value).alias("n")))
+    inside = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ordered.join(F.broadcast(carried), "_part").withColumn(
+        name, F.sum(value).over(inside) + F.col("_carried")).drop("_part", "_pos", "_carried")
+
+
 def with_count_before(points: DataFrame, questions: DataFrame, at: str, late: str, name: str) -> tuple[DataFrame, DataFrame]:
     """Number distinct ``points`` 0..n-1 by ``at`` and count for every question the points before it.
 
     A question with ``late`` 0 stands before the point at its own place, one with ``late`` 1 after it. Points and
     questions are sorted together by one range shuffle, so nothing is looked up and no group meets in one task.
     """
-    spark = points.sparkSession
     mixed = points.select(at).distinct().withColumns({"_order": F.lit(1), "_is": F.lit(1).cast("long")}).unionByName(
         questions.withColumns({"_order": F.col(late) * 2, "_is": F.lit(0).cast("long")}), allowMissingColumns=True)
-    ordered = materialize(
-        mixed.repartitionByRange(at, "_order").sortWithinPartitions(at, "_order")
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK))), "in-order")
-    carried = _carried_parts(spark, ordered.groupBy("_part").agg(F.sum("_is").alias("n")))
-    inside = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = materialize(
-        ordered.join(F.broadcast(carried), "_part").withColumn(name, F.sum("_is").over(inside) + F.col("_carried"))
-        .drop("_part", "_pos", "_carried"), "counted")
+    counted = materialize(with_running_sum(mixed, [at, "_order"], "_is", name), "counted")
     found = counted.where("_order = 1").select(at, (F.col(name) - 1).alias(name))
     return found, counted.where("_order <> 1").select(*questions.columns, name)
