@@ -19,9 +19,14 @@ LINK_DENSITY = 0.5
 STOP_DENSITY = 0.15
 
 _STOP = frozenset(w for words in STOP_WORDS.values() for w in words)
+# Elements whose text is never part of the page. Scripts and styles run to the end of the page if nothing
+# closes them; the others hold what they hold up to their end tag, and nothing if it does not follow.
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<whole>script|style|noscript|template|textarea|select|svg|math|iframe|object|title|canvas|audio|video)\b[^>]*>.*?(?:</(?P=whole)\s*>|\Z)"
+    r"|<(?P<code>script|style)(?=[\s/>])[^>]*>.*?(?:</(?P=code)\s*>|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])(?:[^>]*/)?>(?<=/>)"
+    r"|<(?P<whole>noscript|template|textarea|select|svg|math|iframe|object|title|canvas|audio|video)(?=[\s/>])[^>]*>"
+    r"[^<]*+(?:<(?!/?(?P=whole)[\s/>])[^<]*+)*+</(?P=whole)\s*>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
     r"|<[a-zA-Z/!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
@@ -41,6 +46,10 @@ _BOILERPLATE_NAMES = frozenset(
     sidebar aside nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar
     comment comments commentlist disqus respond reply replies share sharing social related recommended widget login search
     searchform""".split())
+# What may stand behind such a name in a class or id without changing what it names.
+_PLAIN_NAMES = frozenset(
+    """area bar block body bottom box button buttons container content form group header holder icon icons inner item items
+    left link links list main module outer panel post posts right row section slot text title top unit wrap wrapper""".split())
 _BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -54,6 +63,15 @@ class Block:
     heading: bool
 
 
+def _names(value: str, names: frozenset[str] | set[str]) -> bool:
+    """Whether a class or id value has a token that is one of ``names``, ends with one, or only adds plain words to one."""
+    for token in value.split():
+        parts = [x for x in re.split(r"[^a-z]+", token) if x]
+        if parts and (parts[-1] in names or (parts[0] in names and all(x in names or x in _PLAIN_NAMES for x in parts[1:]))):
+            return True
+    return False
+
+
 def _marked(tag: str, attrs: str, in_main: bool) -> bool:
     """Whether an element opens a part beside the article."""
     if tag in _BOILERPLATE_TAGS or (tag == "header" and not in_main):
@@ -66,9 +84,9 @@ def _marked(tag: str, attrs: str, in_main: bool) -> bool:
             return True
         if name == "role" and value in _BOILERPLATE_ROLES:
             return True
-        if name in ("class", "id") and tag not in _MAIN | _HEADINGS and not _BOILERPLATE_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name in ("class", "id") and tag not in _MAIN | _HEADINGS and _names(value, _BOILERPLATE_NAMES):
             return True
-        if name in ("class", "id") and tag == "article" and not {"comment", "comments", "ad", "related", "reply"}.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name in ("class", "id") and tag == "article" and _names(value, {"comment", "comments", "ad", "related", "reply"}):
             return True
     return False
 
@@ -99,6 +117,17 @@ def blocks(page: str) -> list[Block]:
         if depth_link:
             linked += len(text.strip())
 
+    def state() -> tuple[str, int, bool, bool]:
+        return open_tags[-1] if open_tags else ("", 0, False, False)
+
+    def end_inline() -> None:
+        """A marked inline element ends with the block it is in."""
+        nonlocal section, boilerplate, in_header
+        if open_tags and open_tags[-1][0] in _INLINE:
+            while open_tags and open_tags[-1][0] in _INLINE:
+                open_tags.pop()
+            _, section, boilerplate, in_header = state()
+
     at = 0
     for found in _MARKUP.finditer(page):
         add(page[at:found.start()])
@@ -110,14 +139,20 @@ def blocks(page: str) -> list[Block]:
         if found["end"]:
             if tag == "a":
                 depth_link = max(0, depth_link - 1)
-            elif tag not in _INLINE:
+            elif tag in _INLINE:
+                if open_tags and open_tags[-1][0] == tag:
+                    flush()
+                    open_tags.pop()
+                    _, section, boilerplate, in_header = state()
+            else:
                 flush()
+                end_inline()
                 if tag in _HEADINGS:
                     heading = False
                 for back in range(len(open_tags) - 1, -1, -1):
                     if open_tags[back][0] == tag:
                         del open_tags[back:]
-                        _, section, boilerplate, in_header = open_tags[-1] if open_tags else ("", 0, False, False)
+                        _, section, boilerplate, in_header = state()
                         break
         elif tag == "br":
             parts.append(" ")
@@ -125,10 +160,15 @@ def blocks(page: str) -> list[Block]:
             depth_link += 1
         elif tag in _INLINE:
             attrs = found["attrs"]
-            if attrs and _marked(tag, attrs, section > 0):
+            marked = bool(attrs) and _marked(tag, attrs, section > 0)
+            if marked:
                 flush()
+                boilerplate = True
+            if marked or (open_tags and open_tags[-1][0] == tag):
+                open_tags.append((tag, section, boilerplate, in_header))
         elif tag == "hr" or tag not in _VOID:
             flush()
+            end_inline()
             depth_link = 0
             if tag in _HEADINGS:
                 heading = True
@@ -137,7 +177,7 @@ def blocks(page: str) -> list[Block]:
                 if tag in ("p", "li", "td", "th", "tr", "dt", "dd"):
                     while open_tags and open_tags[-1][0] == tag:  # these close themselves
                         open_tags.pop()
-                    _, section, boilerplate, in_header = open_tags[-1] if open_tags else ("", 0, False, False)
+                    _, section, boilerplate, in_header = state()
                 marked = _marked(tag, found["attrs"], section > 0)
                 if tag in _MAIN and not marked and not boilerplate and not section:
                     sections += 1
@@ -149,7 +189,7 @@ def blocks(page: str) -> list[Block]:
                 heading = False
                 if open_tags and open_tags[-1][0] == tag:  # an unclosed marked one before it
                     open_tags.pop()
-                    _, section, boilerplate, in_header = open_tags[-1] if open_tags else ("", 0, False, False)
+                    _, section, boilerplate, in_header = state()
     add(page[at:])
     flush()
     return out

@@ -229,6 +229,28 @@ PAGE = f"""<html><head><title>T</title><style>p{{}}</style><script>var t="</p>";
 <footer>&copy; foot</footer></body></html>"""
 
 
+def test_elements_that_do_not_end_leave_the_article():
+    text = "The people who live in the town have said that they will come to the market in the morning of the day."
+    for before in ("<title-bar>Bar</title-bar>", "<iframe src='x'>", "<svg viewBox='0 0 1 1'/>", "<object data=x>", "<select><option>one",
+                   "<iframe src=x></iframe><iframe src=y>", "<video controls>", "<svg><path d='x'/></svg>", "<math/>"):
+        page = f"<html><body>{before}<p>{text}</p><p>{text}</p><iframe src=z></iframe></body></html>"
+        assert text in main_text(page) and main_text(page).count(text) == 2, before
+    assert main_text(f"<p>{text}</p><script>var a = '<p>{text}</p>'") == text
+    hidden = f"<noscript><p>{text}</p></noscript><template>{text}</template><textarea>{text}</textarea><p>{text}</p>"
+    assert main_text(hidden) == text
+
+
+def test_marked_inline_elements_and_whole_names():
+    text = "The people who live in the town have said that they will come to the market in the morning of the day."
+    assert main_text(f"<div><p>{text}</p><span class='ad'>Buy <span>it</span> now</span><p>{text}</p></div>") == f"{text}\n{text}"
+    assert main_text(f"<p>{text} <b hidden>unseen words</b> {text}</p>") == f"{text}\n{text}"
+    assert main_text(f"<div><p>{text} <span class=ad>Buy<p>{text}</p></div>") == f"{text}\n{text}"
+    for name in ("social-history", "ad-hoc", "comment-culture", "page-related-history", "shared"):
+        assert main_text(f"<div class='{name}'><p>{text}</p></div>") == text, name
+    for name in ("sidebar", "site-footer", "comment-list", "x related-posts", "cookie_notice", "ad-slot-1", "nav-main"):
+        assert main_text(f"<div><p>{text}</p></div><div class='{name}'><p>{text}</p></div>") == text, name
+
+
 @pytest.mark.parametrize("page, text", [
     (PAGE, f"Title\n{PROSE}\nShort & bold.\nUnclosed line\nEnd 3 < 4."), (None, ""), ("", ""), (" \n", ""), ("plain words", "plain words"),
     (f"<div><a href=1>Home</a> <a>Two</a></div><h2>Head</h2><p>{PROSE}<p>Short one.", f"Head\n{PROSE}\nShort one."),
