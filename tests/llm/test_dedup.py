@@ -242,19 +242,27 @@ def lines_by_hand(rows, leading, least, constant):
         for t in lines:
             if t and doc is not None:
                 holders.setdefault(t, set()).add(doc)
-    leaf = lambda t: (len(t), t[:leading])
+    leaf = {t: (len(t),) for t in holders}
+    for level in range(leading):
+        below: dict = {}
+        for t, who in holders.items():
+            if len(t) > level:
+                below.setdefault((leaf[t], t[level]), set()).update(who)
+        # a rare token, and a field, go to the shared child
+        leaf = {t: node if len(t) <= level else (*node, t[level] if t[level] != b"<*>" and len(below[node, t[level]]) >= least else None)
+                for t, node in leaf.items()}
     reach: dict = {}
     for t, who in holders.items():
-        reach.setdefault(leaf(t), set()).update(who)
-    held = {t: who for t, who in holders.items() if len(reach[leaf(t)]) >= least}
+        reach.setdefault(leaf[t], set()).update(who)
+    held = {t: who for t, who in holders.items() if len(reach[leaf[t]]) >= least}
     places: Counter = Counter()
     for t, who in held.items():
         for i, token in enumerate(t):
-            places[leaf(t), i, token] += len(who)
+            places[leaf[t], i, token] += len(who)
     template = {}
     for t in held:
-        shape = tuple(x if places[leaf(t), i, x] >= least else None for i, x in enumerate(t))
-        template[t] = (leaf(t), shape) if sum(x is not None for x in shape) >= constant * len(t) else t
+        shape = tuple(x if places[leaf[t], i, x] >= least else None for i, x in enumerate(t))
+        template[t] = (leaf[t], shape) if sum(x is not None for x in shape) >= constant * len(t) else t
     who_has: dict = {}
     for t, who in held.items():
         who_has.setdefault(template[t], set()).update(who)
@@ -274,6 +282,30 @@ def test_line_dedup(spark):
     assert all(r.n_dropped == 2 for r in got if r.doc_id and r.doc_id >= 40)
 
 
+def line_rows():
+    """Lines over few words, so that leaves, constant tokens and templates come about in many ways."""
+    random = np.random.default_rng(5)
+    words = "a b c d e f g h q1 7 <*> \u00e9".split()
+    lines = [" ".join(random.choice(words, random.integers(1, 7))) for _ in range(60)]
+    rows = []
+    for doc in range(70):
+        own = [str(x) for x in random.choice(lines, 4)] + [f"{random.choice(words[:3])} saw {prose(doc, 1)} at {doc} \t today", "", " \x0b"]
+        random.shuffle(own)
+        rows.append((doc + 100, "\n".join(own) + "\n" * int(random.integers(0, 3))))
+    return awkward() + rows + [rows[3], rows[4], (None, rows[5][1]), (None, "\n".join(lines))]
+
+
+@pytest.mark.parametrize("leading,least,slots", [(3, 10, None), (3, 4, None), (2, 6, 1024), (0, 10, 1024)])
+def test_line_dedup_tree_with_shared_children(spark, monkeypatch, leading, least, slots):
+    if slots:  # a sketch too small for its tokens lets everything through and changes nothing
+        monkeypatch.setattr(L, "BLOCK_SLOTS", slots)
+        monkeypatch.setattr(L, "sketch_slots", lambda size: 1024)
+    rows = line_rows()
+    got = L.drop_recurring_lines(documents(spark, rows), leading, least).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
+    assert Counter(tuple(r) for r in got) == Counter(lines_by_hand(rows, leading, least, 0.5))
+    assert any(r.n_dropped for r in got)
+
+
 def test_line_dedup_with_a_variable_leading_token_and_the_querys_own_parameters(spark, tmp_path):
     rows = awkward() + [(40 + i, f"user {prose(i + 300, 1)}q{'abcdefghijkl'[i]} logged in at 10:{i}\nown words {prose(i + 70, 6)}") for i in range(12)]
     rows += [(60 + i, f"{'abcdefghijkl'[i]}x came to see us today") for i in range(12)]
