@@ -295,13 +295,15 @@ def line_rows():
     return awkward() + rows + [rows[3], rows[4], (None, rows[5][1]), (None, "\n".join(lines))]
 
 
-@pytest.mark.parametrize("leading,least,slots", [(3, 10, None), (3, 4, None), (2, 6, 1024), (0, 10, 1024)])
-def test_line_dedup_tree_with_shared_children(spark, monkeypatch, leading, least, slots):
+@pytest.mark.parametrize("leading,least,slots,sent", [(3, 10, None, 0), (3, 4, None, 99999), (2, 6, 1024, 1), (0, 10, 1024, 99999)])
+def test_line_dedup_tree_with_shared_children(spark, monkeypatch, leading, least, slots, sent):
+    # lines beyond those that may be sent everywhere are found by a join, with the same result
     if slots:  # a sketch too small for its tokens lets everything through and changes nothing
         monkeypatch.setattr(L, "BLOCK_SLOTS", slots)
         monkeypatch.setattr(L, "sketch_slots", lambda size: 1024)
     rows = line_rows()
-    got = L.drop_recurring_lines(documents(spark, rows), leading, least).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
+    found = L.drop_recurring_lines(documents(spark, rows), leading, least, max_sent_lines=sent)
+    got = found.select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
     assert Counter(tuple(r) for r in got) == Counter(lines_by_hand(rows, leading, least, 0.5))
     assert any(r.n_dropped for r in got)
 
