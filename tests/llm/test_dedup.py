@@ -66,6 +66,18 @@ def test_exact_dedup_index_outlives_a_batch(spark):
     assert "SortMergeJoin" in plan and "SelectedBucketsCount" in plan
 
 
+def test_exact_dedup_repeats_a_batch_whose_result_was_lost(spark):
+    docs = documents(spark, [(1, "one"), (2, "two"), (3, "ONE")])
+    index = new_index(spark, "exact-f", buckets=4)
+    deduplicate(docs, index, "monday")  # appended, but its rows were never stored
+    again = deduplicate(documents(spark, [(1, "one"), (2, "two"), (3, "ONE"), (4, "new")]), index, "monday").collect()
+    assert {r.doc_id for r in again if r.kept} == {2, 3, 4} and not any(r.known for r in again)
+    assert without_copies(docs, index, "monday").count() == 2
+    assert all(r.known and not r.kept for r in deduplicate(docs, index, "tuesday").collect())
+    assert without_copies(docs, index).count() == 0
+    assert sorted(r.doc_id for r in index.rows().collect()) == [2, 3, 4]
+
+
 def test_exact_dedup_runs_without_python(spark):
     plan = deduplicate(documents(spark, [(1, "a")]), new_index(spark, "exact-c"))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
