@@ -27,7 +27,7 @@ _MARKUP = re.compile(
     r"|<(?:svg|math)(?=[\s/>])(?:[^>]*/)?>(?<=/>)"
     r"|<(?P<whole>noscript|template|textarea|select|svg|math|iframe|object|title|canvas|audio|video)(?=[\s/>])[^>]*>"
     r"[^<]*+(?:<(?!/?(?P=whole)[\s/>])[^<]*+)*+</(?P=whole)\s*>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
     r"|<[a-zA-Z/!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )

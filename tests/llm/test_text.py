@@ -16,6 +16,7 @@ from ledgermill.llm import decontaminate as D
 from ledgermill.llm import language_id as G
 from ledgermill.llm import packing as P
 from ledgermill.llm import toxicity as T
+from ledgermill.llm import html_text as X
 from ledgermill.llm.html_text import extract_text, main_text
 from ledgermill.llm.queries import op8_toxicity, op9_language_id
 from ledgermill.llm.textbytes import text_bytes
@@ -260,6 +261,57 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+def labels_by_hand(found):
+    """The two passes, one block after the other."""
+    in_article = any(b.section and not b.boilerplate for b in found)
+
+    def has_say(b):
+        return not b.boilerplate and (b.section or not in_article)
+
+    def first(b):
+        if b.linked / len(b.text) > 0.5:
+            return False
+        words = re.findall(r"[^\W\d_]+", b.text.lower())
+        if len(b.text) >= 70 and words and sum(w in X._STOP for w in words) / len(words) >= 0.15:
+            return True
+        return None
+
+    decided = {i: first(b) for i, b in enumerate(found) if has_say(b) and first(b) is not None}
+    for i, b in enumerate(found):
+        if not has_say(b):
+            yield False
+        elif i in decided:
+            yield decided[i]
+        else:
+            away = {k: abs(k - i) for k in decided if found[k].section == b.section}
+            if away:
+                yield any(decided[k] for k, d in away.items() if d == min(away.values()))
+            else:
+                yield bool(b.section) or not decided
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_labels_are_those_of_the_two_passes(seed):
+    random = np.random.default_rng(seed)
+    texts = ["Short one", PROSE, "Numbers 12 34 " * 8, "qwx zvb krt " * 9, "the of and in", "7" * 80, "x"]
+    shares = random.choice(3, 4, replace=True)  # pages differ in how many blocks are in articles or marked
+    for _ in range(40):
+        found = []
+        for _ in range(int(random.integers(0, 16))):
+            text = texts[random.integers(len(texts))]
+            linked = int(random.choice([0, 0, len(text) // 2, len(text) // 2 + 1, len(text)]))
+            found.append(X.Block(text, linked, int(random.integers(0, 1 + shares[0])), bool(random.integers(0, 4) < shares[1]), False))
+        assert X.labels(found) == list(labels_by_hand(found))
+
+
+def test_a_very_long_page_comes_out_whole():
+    text = [f"The people of the town number {i} have said that they will come to the market in the morning." for i in range(20_000)]
+    page = "<html><body><nav><a href=1>Home</a></nav>" + "".join(f"<p>{t}</p>" for t in text) + "<footer>foot</footer></body></html>"
+    assert main_text(page) == "\n".join(text)
+    assert main_text("<div>" * 5000 + f"<p>{text[0]}</p>") == text[0]
+    assert main_text("<b" * 20_000) == "" and main_text("<iframe>" * 3000 + f"<p>{text[0]}</p>") == text[0]
+
+
 def test_extract_text_keeps_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "<p>é")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(2))
