@@ -415,6 +415,44 @@ def test_toxicity_without_labels_rejects_nothing(spark):
     assert T.score_documents(documents(spark, []), model).collect() == []
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    """Whole texts count, whatever their length: here only those of over 64 KB are toxic."""
+    texts = [(i, prose(i, 20_000) + " vile nasty " + prose(i, 50) + " vile nasty" if i % 3 == 0 else prose(i, 40)) for i in range(90)]
+    assert all(len(t) > 64 << 10 for i, t in texts if i % 3 == 0)
+    docs = documents(spark, texts)
+    model = T.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in texts], "doc_id long, toxic int"))
+    got = T.score_documents(docs, model).collect()
+    assert sum(r.predicted == int(r.doc_id % 3 == 0) for r in got) > 0.9 * len(got)
+
+
+def test_toxicity_learns_from_all_shards(spark):
+    """Every shard's rows reach the model: each has toxic words of its own."""
+    shards = [r[0] for r in spark.range(600).select(F.pmod(F.xxhash64(F.xxhash64("id")), F.lit(5))).collect()]
+    bad = ["vile", "nasty", "awful", "rotten", "filthy"]
+    mark = lambda i: f" {bad[shards[i]]} " + prose(i + 900, 10) + f" {bad[shards[i]]}" if i % 3 == 0 else ""
+    docs = documents(spark, [(i, prose(i, 30) + mark(i)) for i in range(600)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int")
+    learnt = labels.where(T.held_out_rows()).count()
+    model = T.fit(docs, labels, shard_rows=-(-(600 - learnt) // 5))
+    got = T.score_documents(docs, model).collect()
+    for shard in range(5):
+        rows = [r for r in got if shards[r.doc_id] == shard and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+        assert sum(r.predicted == int(r.doc_id % 3 == 0) for r in rows) > 0.8 * len(rows)
+    again = T.fit(docs.repartition(7), labels, shard_rows=-(-(600 - learnt) // 5))
+    assert (again.table == model.table).all() and again.thresholds == model.thresholds
+
+
+def test_training_goes_on_from_its_rows():
+    _, features = start_of_training(3)
+    first, second = T.Training(3), T.Training(4)
+    first.run([features], np.array([1]), 2)
+    at, values = first.rows()
+    second.take(at, values / T.FIXED)
+    assert np.allclose(second.model.out, first.model.out) and np.allclose(second.sums[-1], first.sums[-1])
+    assert np.allclose(second.model.table[at[at >= 0]], first.model.table[at[at >= 0]])
+    assert abs(second.model.bias - first.model.bias) < 1e-9 and abs(second.bias_sum - first.bias_sum) < 1e-9
+
+
 def start_of_training(seed):
     """The model before its first step, and one text's features."""
     random = np.random.default_rng(seed)
