@@ -25,11 +25,13 @@ FILTERS = 8
 TOP = 3
 PREFIXES = (4, 5, 6, 7)
 # Rows and bytes of text that one task trains on between two averages of the models.
-SHARD_ROWS = 6000
+SHARD_ROWS = 12_000
 SHARD_BYTES = 32 << 20
+# labelled ids that every task gets, so that texts stay where they are; more are joined with the texts
+SENT_LABELS = 4_000_000
 # passes over the rows of one shard, and at least over those of many
 EPOCHS, LEAST_EPOCHS = 6, 3
-# models travel between tasks as rows of DIM whole numbers, so that their sums do not depend on the order
+# parameters are added up as whole numbers of this part, so that the sums do not depend on the order
 FIXED = float(1 << 32)
 # width of a cell of equal probabilities on the logit scale when thresholds are chosen
 CELLS_PER_LOGIT = 1024
@@ -174,7 +176,7 @@ class Training:
         rest = [np.append(rest[0], self.model.bias), np.append(rest[1], self.bias_sum)]
         rest = [np.pad(x, (0, -len(x) % DIM)).reshape(-1, DIM) for x in rest]
         values = np.concatenate([np.hstack([self.model.table[words], self.sums[0][words]]), np.hstack(rest)])
-        return np.append(words, -1 - np.arange(len(rest[0]))), np.rint(values * FIXED).astype(np.int64)
+        return np.append(words, -1 - np.arange(len(rest[0]))), values.astype(np.float32)
 
     def take(self, at: np.ndarray, values: np.ndarray) -> None:
         """Go on from the rows of :meth:`rows`, or from their averages."""
@@ -260,59 +262,62 @@ def calibrate(model: Model, samples: list[np.ndarray], languages: list[str], lab
     set_thresholds(model, {name: cells(chosen) for name, chosen in every.items()})
 
 
-def _read_shard(table: pa.Table, calibration: bool) -> tuple[list[np.ndarray], list[str], np.ndarray]:
-    """Features, languages and labels of a shard: a fifth of its rows is for calibration, the rest for training."""
-    table = table.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-    held = np.arange(table.num_rows) % 5 == 0
-    table = table.filter(pa.array(held if calibration else ~held)).combine_chunks()
-    samples, languages, votes = [], [], LanguageVotes()
-    for batch in table.to_batches():
-        for _, raw, borders in text_slices(batch):
-            words, features, whole = word_features(raw, borders)
-            for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-                samples.append(features[a:b])
-                languages.append(votes.of(whole[a:b]))
-    return samples, languages, table.column("toxic").to_numpy()
+def _shards(batches: Iterator[pa.RecordBatch], calibration: bool) -> Iterator[tuple[int, list[np.ndarray], list[str], np.ndarray]]:
+    """Number, features, languages and labels of every shard: a fifth of its rows is for calibration, the rest for training."""
+    votes = LanguageVotes()
+    for stored in batches:
+        for number, listed in zip(stored.column("shard").to_pylist(), stored.column("rows")):
+            rows = pa.RecordBatch.from_struct_array(listed.values)
+            held = np.arange(rows.num_rows) % 5 == 0
+            rows = rows.filter(pa.array(held if calibration else ~held))
+            samples, languages = [], []
+            for _, raw, borders in text_slices(rows):
+                words, features, whole = word_features(raw, borders)
+                for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+                    samples.append(features[a:b])
+                    languages.append(votes.of(whole[a:b]))
+            yield number, samples, languages, rows.column("toxic").to_numpy()
 
 
 _ROW = [f"v{i}" for i in range(2 * DIM)]
 
 
-def _trained(rows: DataFrame, training: Training | None, turn: int, epochs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every shard goes on from ``training`` in a task of its own; the averages of what they changed."""
-    sent = rows.sparkSession.sparkContext.broadcast(training)
-
-    def work(table: pa.Table) -> pa.Table:
-        samples, _, labels = _read_shard(table, calibration=False)
-        own = sent.value
-        if own is None:
-            own = Training()
-        else:
-            own = copy.deepcopy(own)
-            own.random = np.random.default_rng([turn, table.column("shard")[0].as_py()])
-            own.touched[:] = False
-        own.run(samples, labels, epochs)
-        at, values = own.rows()
-        return pa.table({"at": at.astype(np.int32)} | {c: np.ascontiguousarray(values[:, i]) for i, c in enumerate(_ROW)})
-
-    changed = rows.groupBy("shard").applyInArrow(work, "at int, " + ", ".join(f"{c} long" for c in _ROW))
+def _trained(shards: DataFrame, training: Training | None, turn: int, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every shard goes on from ``training`` by itself; the averages of what they changed."""
+    sent = shards.sparkSession.sparkContext.broadcast(training)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, samples, _, labels in _shards(batches, calibration=False):
+            if sent.value is None:
+                own = Training()
+            else:
+                own = copy.deepcopy(sent.value)
+                own.random = np.random.default_rng([turn, shard])
+                own.touched[:] = False
+            own.run(samples, labels, epochs)
+            at, values = own.rows()
+            columns = [np.ascontiguousarray(values[:, i]) for i in range(len(_ROW))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at.astype(np.int32), *columns)], ["at", *_ROW])
+
+    changed = shards.mapInArrow(work, "at int, " + ", ".join(f"{c} float" for c in _ROW))
     # a word's row is averaged over the shards that met the word
-    mean = [(F.sum(c) / F.count(F.lit(1)) / FIXED).alias(c) for c in _ROW]
-    found = changed.groupBy("at").agg(*mean).toArrow()
+    mean = [(F.sum((F.col(c) * F.lit(FIXED)).cast("long")) / F.count(F.lit(1)) / F.lit(FIXED)).alias(c) for c in _ROW]
+    found = changed.repartition("at").groupBy("at").agg(*mean).toArrow()
     sent.destroy()
     return found.column("at").to_numpy(), np.stack([found.column(c).to_numpy() for c in _ROW], axis=1)
 
 
-def _cells(rows: DataFrame, model: Model) -> dict[str, tuple[np.ndarray, ...]]:
+def _cells(shards: DataFrame, model: Model) -> dict[str, tuple[np.ndarray, ...]]:
     """Texts kept for calibration, counted by language and probability."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    sent = shards.sparkSession.sparkContext.broadcast(model)
 
-    def work(table: pa.Table) -> pa.Table:
-        samples, languages, labels = _read_shard(table, calibration=True)
-        p = np.array([sent.value.probability(s) for s in samples], np.float64)
-        return pa.table({"language": pa.array(languages, pa.string()), "p": p, "toxic": labels.astype(np.int32)})
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, samples, languages, labels in _shards(batches, calibration=True):
+            p = pa.array([sent.value.probability(s) for s in samples], pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(languages, pa.string()), p, pa.array(labels, pa.int32())], ["language", "p", "toxic"])
 
-    scored = rows.groupBy("shard").applyInArrow(work, "language string, p double, toxic int")
+    scored = shards.mapInArrow(work, "language string, p double, toxic int")
     q = F.greatest(F.least("p", F.lit(1 - 1e-14)), F.lit(1e-14))
     cell = F.floor(F.log(q / (1 - q)) * CELLS_PER_LOGIT).alias("cell")
     counted = scored.groupBy("language", cell).agg(
@@ -327,23 +332,26 @@ def fit(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, shard_
     """Train on all labelled rows outside the held-out quarter, whole texts.
 
     Rows are dealt by the hash of their id into shards of about ``shard_rows`` rows and ``shard_bytes`` bytes
-    at most. Every shard trains in a task of its own, one pass a round, and the models are averaged after each
+    at most, one stored row each, which later rounds read without a shuffle. Every shard trains in a task of its own, one pass a round, and the models are averaged after each
     round; the model, whose size is fixed, is what travels. A single shard makes all its passes at once. A fifth of
     every shard is kept for calibration. With no usable labels every score is below the threshold.
     """
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max("toxic").cast("int").alias("toxic")).where(~held_out_rows())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = materialize(texts.join(marked, "doc_id").withColumn("place", F.xxhash64("doc_id")), "labelled-texts")
-    count, size, least, most = rows.agg(
-        F.count(F.lit(1)), F.sum(F.octet_length("text")), F.min("toxic"), F.max("toxic")).first()
+    marked = materialize(marked, "labels")
+    known = F.broadcast(marked) if marked.count() <= SENT_LABELS else marked
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(~held_out_rows())
+    count, size, least, most = texts.select("doc_id", F.octet_length("text").alias("size")).join(known, "doc_id").agg(
+        F.count(F.lit(1)), F.sum("size"), F.min("toxic"), F.max("toxic")).first()
     if not count or least == most:
-        discard(rows)
         width = len(WIDTHS) * FILTERS
         return Model(np.zeros((1 << TABLE_BITS, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS],
                      np.zeros(width, np.float32), np.zeros(TOP * width, np.float32), -2.0, {"": 0.5})
     shards = max(1, -(-count // shard_rows), -(-size // shard_bytes))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int"))
+    place = F.xxhash64("doc_id")
+    shard = F.pmod(F.xxhash64(place), F.lit(shards)).cast("int").alias("shard")
+    listed = F.sort_array(F.collect_list(F.struct(place.alias("place"), "doc_id", F.lower("text").alias("text"), "toxic"))).alias("rows")
+    dealt = materialize(texts.join(known, "doc_id").groupBy(shard).agg(listed), "labelled-texts")
     rounds, passes = (1, EPOCHS) if shards == 1 else (max(LEAST_EPOCHS, -(-EPOCHS // shards)), 1)
     training = None
     for turn in range(rounds):
@@ -352,7 +360,7 @@ def fit(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, shard_
         training.take(at, values)
     model = training.done()
     set_thresholds(model, _cells(dealt, model))
-    discard(rows)
+    discard(dealt)
     return model
 
 
