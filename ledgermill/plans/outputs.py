@@ -214,7 +214,7 @@ def run_case(
     for kind, mapping in (("payroll", payroll_column_mapping), ("trust", trust_column_mapping)):
         paths = list_exports(spark, f"{root}/inputs/{kind}")
         if not paths:
-            raise ValueError(f"{root}/inputs/{kind} holds no export to read")
+            raise ValueError(f"No {kind} files: {root}/inputs/{kind} holds no export to read")
         frames.append(read_exports(spark, paths, mapping, kind))
     payroll, deposits = normalize_payroll(frames[0]), normalize_deposits(frames[1])
     # every report starts from these: read and parse the exports once
