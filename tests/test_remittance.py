@@ -165,3 +165,43 @@ def test_three_way(spark, case):
     rules = validation_failures(payroll, deposits.rows, postings, schedule, limit=250.0)
     seen = {(r.rule_id, r.subject) for r in rules.collect()}
     assert ("V002", "2025-01-24") in seen and ("V003", "E999") in seen and ("V004", "E105 2025") in seen
+
+
+def test_deposits_are_walked_once_a_side(spark, monkeypatch):
+    """Hot amounts, many instants: as many rows as go in, whatever the history; and what a range cannot answer is found."""
+    from ledgermill.operators import deposits as module
+    kept, sizes = module.materialize, {}
+
+    def counted(df, label):
+        df = kept(df, label)
+        sizes[label] = df.count()
+        return df
+
+    monkeypatch.setattr(module, "materialize", counted)
+    r, start = random.Random(5), dt.datetime(2024, 1, 1)
+    stamp = lambda: start + dt.timedelta(minutes=r.randrange(200_000))
+    deposits = [(stamp(), r.choice([None, 0.0, -0.0, 25.0, 25.0, 25.0, round(r.uniform(-50, 90), 2)]), "f.csv", f"d{i}") for i in range(1500)]
+    totals = {stamp(): r.choice([None, 25.0, round(r.uniform(-90, 200), 2)]) for _ in range(700)}
+    got = nearest_later_deposit(
+        spark.createDataFrame(list(totals.items()), "pay_date timestamp_ntz, payroll_total double"),
+        spark.createDataFrame(deposits, "deposit_date timestamp_ntz, deposit_amount double, source_file string, deposit_row_id string"))
+    want = {}
+    for pay, total in totals.items():
+        later = [(abs(a - total), d, f, len(i), i) for d, a, f, i in deposits if d >= pay and None not in (a, total)]
+        if later:
+            want[pay] = min(later)[4]
+    assert {x.pay_date: x.deposit_row_id for x in got.collect()} == want
+    assert sizes["swept"] <= 2 * (len(deposits) + len(totals)) and sizes["neighbours"] <= 2 * len(totals)
+
+
+def test_a_schedule_parses_its_payroll_once(spark, case):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(amount):
+        read.add(1)
+        return amount
+
+    payroll, deposits, _ = case
+    counted = payroll.withColumn("deferral_amount", F.udf(seen, "double").asNondeterministic()("deferral_amount"))
+    assert remittance_schedule(counted, deposits.rows).count() == len(EXPECTED)
+    assert read.value == payroll.count()
