@@ -10,6 +10,7 @@ from ledgermill.functions.scoring import round_half_up
 from ledgermill.operators.deposits import nearest_later_deposit
 from ledgermill.operators.prefix import with_dense_index
 from ledgermill.schemas import SCHEDULE_COLUMNS
+from ledgermill.session import materialize, stored
 
 PARTIAL_LIMIT = 0.10
 LOW_CONFIDENCE = 0.90
@@ -121,8 +122,10 @@ def remittance_schedule(
     ``review_style="v1"`` keeps the first version's review texts and has no severity or
     recommended action.
     """
-    totals = payroll_totals(payroll)
-    chosen = nearest_later_deposit(totals, deposits)
+    # what several steps read is parsed and computed once
+    payroll, deposits = stored(payroll, "payroll"), stored(deposits, "deposits")
+    totals = materialize(payroll_totals(payroll), "payroll-totals")
+    chosen = materialize(nearest_later_deposit(totals, deposits), "chosen")
     # files of every deposit that equals the chosen one in date and amount
     files = chosen.select("pay_date", "deposit_date", "deposit_amount").join(
         deposits.select("deposit_date", "deposit_amount", "source_file"), ["deposit_date", "deposit_amount"]
